@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from .once import once
 
 ASCII_DIGITS = "0123456789"
 SEPARATORS = r"(?U)[\s\-_.·•/|,]+"
@@ -28,14 +29,19 @@ _CLASSES_DEVA = _alternation(_CLASS_BY_STRIPPED)
 _CLASSES_ROMAN = _alternation(c[1] for c in R.CLASSES)
 _SEP = r"[\s\-_.·•/|,]"
 
-NATIVE = f"^({_ZONES_DEVA})([०-९]{{0,2}})({_CLASSES_DEVA})([०-९]{{1,4}})$"
-ROMANISED = (
-    f"(?U)^{_SEP}*({_ZONES_ROMAN})(?:{_SEP}+([0-9]{{1,2}}))?{_SEP}+({_CLASSES_ROMAN})"
-    f"{_SEP}+([0-9]{{1,4}}){_SEP}*$"
-)
-EMBOSSED = (
-    "^(?:NEP)?([1-7])(A|B|C1?|D|E|F|G|H[12]?|I[1-3]?|J[1-5]?|K)([A-Z]{2})([0-9]{1,4})$"
+_NATIVE = f"({_ZONES_DEVA})([०-९]{{0,2}})({_CLASSES_DEVA})([०-९]{{1,4}})"
+_ROMANISED = (
+    f"{_SEP}*({_ZONES_ROMAN})(?:{_SEP}+([0-9]{{1,2}}))?{_SEP}+({_CLASSES_ROMAN}){_SEP}+([0-9]{{1,4}}){_SEP}*"
 )
+_EMBOSSED = "(?:NEP)?([1-7])(A|B|C1?|D|E|F|G|H[12]?|I[1-3]?|J[1-5]?|K)([A-Z]{2})([0-9]{1,4})"
+NATIVE = f"^{_NATIVE}$"
+EMBOSSED = f"^{_EMBOSSED}$"
+
+# All layouts in one expression over "compact text, newline, text with ASCII digits"; the order
+# of the alternatives is the order the layouts are tried in.
+_ANY_LAYOUT = f"(?sU)^(?:{_NATIVE}\\n.*|[^\\n]*\\n{_ROMANISED}|{_EMBOSSED}\\n.*)$"
+_PIECES = "," + ",".join(f"${i}" for i in range(1, 13))
+_PREFIX = r"(?iU)^\s*(?:NP-L:)?(?:NP-E:)?"
 
 
 def lookup(mapping: dict, key: Column) -> Column:
@@ -52,66 +58,46 @@ def ascii_to_deva(c: Column) -> Column:
     return F.translate(c, ASCII_DIGITS, R.DEVA_DIGITS)
 
 
-def _raw(text: Column) -> Column:
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.upper(F.regexp_replace(trimmed, r"(?i)^(?:NP-L:)?(?:NP-E:)?", ""))
-
-
 def strip_separators(c: Column) -> Column:
     return F.regexp_replace(c, SEPARATORS, "")
 
 
-def plate_parts(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_p_*`` working columns: the layout that matched and its raw pieces.
+def plate_pieces(df: DataFrame, text: str) -> DataFrame:
+    """Add ``_kind`` (layout that matched, or null) and its raw pieces ``_1`` to ``_4``.
 
-    Staged as separate projections so each regular expression runs once per row.
+    One match covers all layouts: the pieces come back comma-separated, and a comma is a
+    separator, so unmatched text can not start with one.
     """
-    raw = df.withColumn("_p_raw", _raw(F.col(text)))
-    compact = raw.withColumn("_p_compact", strip_separators(F.col("_p_raw"))).withColumn(
-        "_p_roman", deva_to_ascii(F.col("_p_raw"))
-    )
-    kind = compact.withColumn(
-        "_p_kind",
-        F.when(F.col("_p_compact").rlike(NATIVE), "native")
-        .when(F.col("_p_roman").rlike(ROMANISED), "romanised")
-        .when(F.col("_p_compact").rlike(EMBOSSED), "embossed"),
-    )
+    raw = F.upper(F.regexp_replace(F.col(text), _PREFIX, ""))
+    subject = df.withColumn("_raw", raw)
+    subject = subject.withColumn("_subject", F.concat(strip_separators(F.col("_raw")), F.lit("\n"), deva_to_ascii(F.col("_raw"))))
+    split = once(subject.drop("_raw"), _m=F.split(F.regexp_replace("_subject", _ANY_LAYOUT, _PIECES), ",")).drop("_subject")
+    m = F.col("_m")
+    kind = F.when(m[0] == "", F.when(m[1] != "", "native").when(m[5] != "", "romanised").otherwise("embossed"))
 
     def piece(i: int) -> Column:
-        k = F.col("_p_kind")
-        return (
-            F.when(k == "native", F.regexp_extract("_p_compact", NATIVE, i))
-            .when(k == "romanised", F.regexp_extract("_p_roman", ROMANISED, i))
-            .when(k == "embossed", F.regexp_extract("_p_compact", EMBOSSED, i))
-        )
-
-    return kind.select("*", *[piece(i).alias(f"_p_{i}") for i in range(1, 5)]).drop(
-        "_p_raw", "_p_compact", "_p_roman"
-    )
+        return F.when(m[1] != "", m[i]).when(m[5] != "", m[4 + i]).otherwise(m[8 + i])
+
+    pieces = {f"_{i}": F.when(m[0] == "", piece(i)) for i in range(1, 5)}
+    return once(split, _kind=kind, **pieces).drop("_m")
 
 
-def _by(kind_values: dict[str, Column]) -> Column:
-    expr = None
-    for kind, value in kind_values.items():
-        cond = F.col("_p_kind") == kind
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    return expr
+def _zone() -> Column:
+    return F.when(F.col("_kind") == "native", lookup({z[0]: z[1] for z in R.ZONES}, F.col("_1"))).otherwise(F.col("_1"))
 
 
-def _strip_deva(entries, key: int, value: int) -> dict:
-    return {e[key].replace(".", ""): e[value] for e in entries}
+def _class() -> Column:
+    stripped = {c[0].replace(".", ""): c[1] for c in R.CLASSES}
+    return F.when(F.col("_kind") == "native", lookup(stripped, F.col("_3"))).otherwise(F.col("_3"))
 
 
 def with_canonical(df: DataFrame, text: str, out: str = "canonical") -> DataFrame:
     """Canonical key of a free-text plate, null when no layout matches."""
-    zone = _by({"native": lookup({z[0]: z[1] for z in R.ZONES}, F.col("_p_1")), "romanised": F.col("_p_1")})
-    klass = _by({"native": lookup(_strip_deva(R.CLASSES, 0, 1), F.col("_p_3")), "romanised": F.col("_p_3")})
-    lot = F.when(F.col("_p_2") == "", "0").otherwise(deva_to_ascii(F.col("_p_2")))
-    legacy = F.concat(F.lit("NP-L:"), F.concat_ws("-", zone, lot, klass, deva_to_ascii(F.col("_p_4"))))
-    embossed = F.concat(F.lit("NP-E:"), F.concat_ws("-", "_p_1", "_p_2", "_p_3", "_p_4"))
-    parts = plate_parts(df, text)
-    keyed = parts.withColumn(out, F.when(F.col("_p_kind") == "embossed", embossed).when(F.col("_p_kind").isNotNull(), legacy))
-    return keyed.drop("_p_kind", "_p_1", "_p_2", "_p_3", "_p_4")
+    lot = F.when(F.col("_2") == "", "0").otherwise(deva_to_ascii(F.col("_2")))
+    legacy = F.concat(F.lit("NP-L:"), F.concat_ws("-", _zone(), lot, _class(), deva_to_ascii(F.col("_4"))))
+    embossed = F.concat(F.lit("NP-E:"), F.concat_ws("-", "_1", "_2", "_3", "_4"))
+    key = F.when(F.col("_kind") == "embossed", embossed).when(F.col("_kind").isNotNull(), legacy)
+    return once(plate_pieces(df, text), **{out: key}).drop("_kind", "_1", "_2", "_3", "_4")
 
 
 def confidence_band(score: Column, weakest: Column, warned: Column, repaired: Column) -> Column:
@@ -131,40 +117,30 @@ def with_parsed(
     """Full parse of ``text`` into a struct column: fields, ownership, size, warnings, errors, band."""
     score = F.lit(1.0) if score is None else score
     colour = F.col(observed_colour) if observed_colour else F.lit(None).cast("string")
-    kind = F.col("_p_kind")
+    kind = F.col("_kind")
     legacy = kind.isin("native", "romanised")
     keys = list(df.columns)
-
-    staged = plate_parts(df, text).select(
-        *keys,
-        "_p_kind",
-        score.alias("_p_score"),
-        colour.alias("_p_colour"),
-        _by({
-            "native": lookup({z[0]: z[1] for z in R.ZONES}, F.col("_p_1")),
-            "romanised": F.col("_p_1"),
-        }).alias("_p_zone"),
-        F.when(legacy & (F.col("_p_2") != ""), deva_to_ascii(F.col("_p_2"))).alias("_p_lot"),
-        _by({
-            "native": lookup(_strip_deva(R.CLASSES, 0, 1), F.col("_p_3")),
-            "romanised": F.col("_p_3"),
-        }).alias("_p_class"),
-        F.when(~legacy, F.col("_p_1").cast("int")).alias("_p_province"),
-        F.when(~legacy, F.col("_p_2")).alias("_p_letter"),
-        F.when(~legacy, F.col("_p_3")).alias("_p_series"),
-        deva_to_ascii(F.col("_p_4")).alias("_p_serial"),
+    embossed = kind == "embossed"
+    staged = once(
+        plate_pieces(df, text),
+        _p_score=score, _p_colour=colour,
+        _p_zone=F.when(legacy, _zone()),
+        _p_lot=F.when(legacy & (F.col("_2") != ""), deva_to_ascii(F.col("_2"))),
+        _p_class=F.when(legacy, _class()),
+        _p_province=F.when(embossed, F.col("_1").cast("int")),
+        _p_letter=F.when(embossed, F.col("_2")),
+        _p_series=F.when(embossed, F.col("_3")),
+        _p_serial=deva_to_ascii(F.col("_4")),
     )
-    staged = staged.select(
-        "*",
-        F.when(legacy, lookup({z[1]: z[0] for z in R.ZONES}, F.col("_p_zone"))).alias("_p_zone_deva"),
-        F.when(legacy, lookup({c[1]: c[0] for c in R.CLASSES}, F.col("_p_class"))).alias("_p_class_deva"),
-        F.when(legacy, lookup({c[1]: c[2] for c in R.CLASSES}, F.col("_p_class")))
-        .otherwise("unknown").alias("_p_owner"),
-        F.when(legacy, lookup({c[1]: c[3] for c in R.CLASSES}, F.col("_p_class")))
-        .when(kind == "embossed", lookup(R.EMBOSSED_SIZE, F.col("_p_letter")))
-        .otherwise("unknown").alias("_p_size"),
+    staged = once(
+        staged,
+        _p_zone_deva=F.when(legacy, lookup({z[1]: z[0] for z in R.ZONES}, F.col("_p_zone"))),
+        _p_class_deva=F.when(legacy, lookup({c[1]: c[0] for c in R.CLASSES}, F.col("_p_class"))),
+        _p_owner=F.when(legacy, lookup({c[1]: c[2] for c in R.CLASSES}, F.col("_p_class"))).otherwise("unknown"),
+        _p_size=F.when(legacy, lookup({c[1]: c[3] for c in R.CLASSES}, F.col("_p_class")))
+        .when(embossed, lookup(R.EMBOSSED_SIZE, F.col("_p_letter"))).otherwise("unknown"),
     )
-    staged = staged.withColumn("_p_warn", _warnings(legacy)).withColumn("_p_fields", _fields(legacy))
+    staged = once(staged, _p_warn=_warnings(legacy), _p_fields=_fields(legacy))
 
     weakest = F.array_min(F.transform("_p_fields", lambda f: f["score"]))
     repaired = F.exists("_p_fields", lambda f: f["repaired"])
@@ -203,7 +179,28 @@ def with_parsed(
         .when(kind.isNull(), F.array(F.lit("string does not match any Nepali plate layout")))
         .otherwise(F.array().cast("array<string>")).alias("errors"),
     )
-    return staged.select(*keys, struct.alias(out))
+    return once(staged, **{out: struct}).select(*keys, out)
+
+
+def fields_of(df: DataFrame, canonical: str, score: Column, out: str = "fields") -> DataFrame:
+    """Add the named fields of a canonical key, legacy ones in their native script."""
+    split = once(df, _b=F.split(F.expr(f"substring({canonical}, 6)"), "-"))
+    b = F.col("_b")
+    letter = b[1]
+
+    def field(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), value.alias("value"), score.alias("score"), F.lit(False).alias("repaired"))
+
+    legacy = F.array(
+        field("zone", lookup({z[1]: z[0] for z in R.ZONES}, b[0])), field("lot", ascii_to_deva(b[1])),
+        field("class", lookup({c[1]: c[0] for c in R.CLASSES}, b[2])), field("serial", ascii_to_deva(b[3])),
+    )
+    embossed = F.array(
+        field("province", b[0]), field("class_letter", F.substring(letter, 1, 1)),
+        field("subclass", F.when(F.length(letter) > 1, F.substring(letter, 2, 1))), field("series", b[2]), field("serial", b[3]),
+    )
+    both = F.when(F.col(canonical).startswith("NP-L:"), legacy).otherwise(embossed)
+    return once(split, **{out: F.filter(both, lambda f: f["value"].isNotNull())}).drop("_b")
 
 
 FIELDS_TYPE = "array<struct<name:string,value:string,score:double,repaired:boolean>>"
@@ -232,7 +229,7 @@ def _fields(legacy: Column) -> Column:
         _field("series", F.col("_p_series")),
         _field("serial", F.col("_p_serial")),
     )
-    both = F.when(legacy, old).when(F.col("_p_kind") == "embossed", new)
+    both = F.when(legacy, old).when(F.col("_kind") == "embossed", new)
     return F.filter(both, lambda f: f["value"].isNotNull())
 
 
@@ -242,7 +239,7 @@ def _warnings(legacy: Column) -> Column:
     disagrees = legacy & known & (colour != R.EMBOSSED_COLOUR) & (
         F.coalesce(lookup(R.COLOUR_OWNERSHIP, colour), F.lit("")) != F.col("_p_owner")
     )
-    not_white = (F.col("_p_kind") == "embossed") & known & (colour != R.EMBOSSED_COLOUR)
+    not_white = (F.col("_kind") == "embossed") & known & (colour != R.EMBOSSED_COLOUR)
     digits = F.length("_p_serial")
     notes = F.array(
         F.when(disagrees, F.format_string(
@@ -251,14 +248,14 @@ def _warnings(legacy: Column) -> Column:
         F.when(not_white, F.format_string("embossed plates are black-on-white; observed '%s'", colour)),
         F.when(digits < 4, F.format_string("serial has %d digits; four is standard", digits)),
     )
-    return F.when(F.col("_p_kind").isNotNull(), F.array_compact(notes))
+    return F.when(F.col("_kind").isNotNull(), F.array_compact(notes))
 
 
 def _expected_colours(legacy: Column) -> Column:
     own_colour = lookup({v: k for k, v in R.COLOUR_OWNERSHIP.items()}, F.col("_p_owner"))
     return (
         F.when(legacy, F.array(own_colour, F.lit(R.EMBOSSED_COLOUR)))
-        .when(F.col("_p_kind") == "embossed", F.array(F.lit(R.EMBOSSED_COLOUR)))
+        .when(F.col("_kind") == "embossed", F.array(F.lit(R.EMBOSSED_COLOUR)))
         .otherwise(F.array().cast("array<string>"))
     )
 

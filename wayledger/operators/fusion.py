@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import plates as P
+from ..functions.once import once
 
 
 def frame_weight(quality: Column, gamma: float = 2.0) -> Column:
@@ -85,50 +86,70 @@ def reranked(candidates: DataFrame, posterior: str = "colour", weight: float = 1
     letter = F.regexp_extract("canonical", "^NP-L:[A-Z]+-[0-9]*-([A-Z]+)-", 1)
     scored = candidates.withColumn("colour_bonus", colour_bonus(F.col(posterior), P.ownership_for_class(letter), weight))
     scored = scored.withColumn("total", F.col("log_prob") + F.col("colour_bonus"))
-    w = W.partitionBy("track_id", "frame").orderBy(F.col("total").desc(), "canonical")
+    w = W.partitionBy("track_id", "frame").orderBy(F.col("total").desc(), "canonical", "rank")
     return scored.withColumn("new_rank", F.row_number().over(w) - 1)
 
 
-def _evidence(candidates: DataFrame, pooled: DataFrame | None, gamma: float) -> DataFrame:
-    """Candidate rows with their vote ``cw`` and the weight each field's vote carries."""
+# Layout slots in order; optional slots may be absent.
+SLOTS = {
+    "devanagari": ["zone", "lot", "class", "serial"],
+    "embossed": ["province", "class_letter", "subclass", "series", "serial"],
+}
+_ALL_SLOTS = list(dict.fromkeys(SLOTS["devanagari"] + SLOTS["embossed"]))
+
+
+def plate_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: float = 2.0) -> DataFrame:
+    """Evidence per (track, plate), the only pass over the frames.
+
+    A candidate votes with frame weight times its score, halved per rank; each of its fields
+    votes with that times the field's own score. Also kept: the score and band the plate was
+    first seen with, and in how many frames it was the top choice (``tops``). Votes are summed
+    before the shuffle. ``pooled`` candidates vote with the track's whole frame weight.
+    """
     w = frame_weight(F.col("quality"), gamma)
-    rows = candidates.withColumn("w", w).filter("w > 0").withColumn(
-        "cw", F.col("w") * F.col("score") * F.pow(F.lit(0.5), F.col("rank"))
-    ).select("track_id", "frame", "rank", "w", "system", "canonical", "score", "confidence", "cw", "fields",
-             F.lit(False).alias("pooled"))
+    rows = candidates.withColumn("w", w).filter("w > 0").select(
+        "track_id", "system", "canonical", "score", "confidence", "rank",
+        F.struct(F.lit(0).alias("late"), F.col("frame").cast("bigint").alias("frame"), F.col("rank").cast("int").alias("rank")).alias("seen"),
+        F.when(F.col("rank") == 0, F.col("w")).otherwise(0.0).alias("top_w"),
+        (F.col("rank") == 0).alias("top"),
+        (F.col("w") * F.col("score") * F.pow(F.lit(0.5), F.col("rank"))).alias("cw"), _slot_map(F.col("fields")).alias("slots"),
+    )
+    votes = _summed(rows)
     if pooled is None:
-        return rows
-    total = rows.filter("rank = 0").groupBy("track_id").agg(F.sum("w").alias("total_w"))
-    extra = pooled.join(total, "track_id", "left").withColumn(
-        "cw", F.coalesce("total_w", F.lit(1.0)) * F.col("score")
-    ).select("track_id", F.lit(None).cast("bigint").alias("frame"), "rank", F.lit(0.0).alias("w"), "system",
-             "canonical", "score", "confidence", "cw", "fields", F.lit(True).alias("pooled"))
-    return rows.unionByName(extra)
-
-
-def field_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: float = 2.0) -> DataFrame:
-    """Weighted votes per (track, field, value)."""
-    rows = _evidence(candidates, pooled, gamma).select("track_id", "cw", "score", "pooled", F.explode("fields").alias("f"))
-    factor = F.greatest(F.when(F.col("pooled"), F.col("score")).otherwise(F.col("f.score")), F.lit(1e-6))
-    return rows.groupBy("track_id", F.col("f.name").alias("field"), F.col("f.value").alias("value")).agg(
-        F.sum(F.col("cw") * factor).alias("votes")
+        return votes
+    weight = rows.groupBy("track_id").agg(F.sum("top_w").alias("total_w"))
+    extra = pooled.join(weight, "track_id", "left").select(
+        "track_id", "system", "canonical", "score", "confidence", "rank",
+        F.struct(F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("frame"), F.col("rank").cast("int").alias("rank")).alias("seen"),
+        F.lit(0.0).alias("top_w"), F.lit(False).alias("top"), (F.coalesce("total_w", F.lit(1.0)) * F.col("score")).alias("cw"),
+        # Field votes of a pooled candidate carry the plate's score.
+        _slot_map(F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), F.col("score").alias("score")))).alias("slots"),
     )
+    return _summed(rows.unionByName(extra))
 
 
-def plate_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: float = 2.0) -> DataFrame:
-    """Weighted votes per (track, plate), with the plate's first-seen score and band."""
-    rows = _evidence(candidates, pooled, gamma)
-    first = F.struct(F.col("pooled"), F.coalesce("frame", F.lit(0).cast("bigint")).alias("frame"), "rank")
+def _slot_map(fields: Column) -> Column:
+    return F.map_from_entries(F.transform(fields, lambda f: F.struct(
+        f["name"].alias("k"), F.struct(f["value"].alias("value"), f["score"].alias("score")).alias("v"))))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    aggs = []
+    for slot in _ALL_SLOTS:
+        cell = F.try_element_at("slots", F.lit(slot))
+        aggs.append(F.max(cell["value"]).alias(f"v_{slot}"))
+        aggs.append(F.sum(F.col("cw") * F.greatest(cell["score"], F.lit(1e-6))).alias(f"s_{slot}"))
     return rows.groupBy("track_id", "canonical", "system").agg(
-        F.sum("cw").alias("votes"), F.min_by(F.struct("score", "confidence"), first).alias("first")
+        F.sum("cw").alias("votes"), F.min_by(F.struct("score", "confidence"), F.col("seen")).alias("first"),
+        F.count_if("top").alias("tops"), *aggs,
     )
 
 
-# Layout slots in order; optional slots may be absent.
-SLOTS = {
-    "devanagari": ["zone", "lot", "class", "serial"],
-    "embossed": ["province", "class_letter", "subclass", "series", "serial"],
-}
+def field_votes(plates: DataFrame) -> DataFrame:
+    """Votes per (track, field, value) of the evidence table."""
+    cells = F.array(*[F.struct(F.lit(s).alias("field"), F.col(f"v_{s}").alias("value"), F.col(f"s_{s}").alias("votes")) for s in _ALL_SLOTS])
+    rows = plates.select("track_id", F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
+    return rows.groupBy("track_id", "field", "value").agg(F.sum("votes").alias("votes"))
 
 
 def fuse(
@@ -138,78 +159,77 @@ def fuse(
     """Consensus read per track.
 
     The winning value of each slot is assembled and must form a legal plate; otherwise the
-    best whole plate stands. Ties go to the smaller value. All per-track reductions are
-    aggregates or group-limited windows, so a long track is never gathered in one task.
+    best whole plate stands. Ties go to the larger value. Frames are reduced to distinct
+    plates first; everything after is aggregates and a group-limited window over those.
     """
-    whole = plate_votes(candidates, pooled, gamma)
-    systems = whole.groupBy("track_id", "system").agg(F.sum("votes").alias("votes"))
-    system = _top(systems, ["track_id"], "votes", "system").select("track_id", "system")
-    votes = field_votes(candidates, pooled, gamma)
-    totals = votes.groupBy("track_id", "field").agg(F.sum("votes").alias("total"))
-    winners = _top(votes, ["track_id", "field"], "votes", "value").join(totals, ["track_id", "field"])
-    slots = winners.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "field", F.struct("value", (F.col("votes") / F.col("total")).alias("support"))
-    ))).alias("slots"))  # at most eight slot names
-    best = _top(whole, ["track_id"], "votes", "canonical").select(
-        "track_id", F.col("canonical").alias("best_plate"), F.col("first").alias("best_first"), F.col("system").alias("best_system"),
+    plates = plate_votes(candidates, pooled, gamma)
+    tracks = plates.groupBy("track_id").agg(
+        F.max(F.struct("votes", "canonical", "system", "first")).alias("best"), F.sum("tops").alias("n_frames"),
+        F.sum(F.when(F.col("system") == "devanagari", F.col("votes"))).alias("legacy_votes"),
+        F.sum(F.when(F.col("system") == "embossed", F.col("votes"))).alias("embossed_votes"),
     )
-    parts = system.join(slots, "track_id").join(best, "track_id")
+    winners = field_votes(plates).groupBy("track_id", "field").agg(
+        F.max(F.struct("votes", "value")).alias("top"), F.sum("votes").alias("total")
+    )
+    slots = winners.groupBy("track_id").agg(F.map_from_entries(F.collect_list(F.struct(  # at most eight slots
+        "field", F.struct(F.col("top.value").alias("value"), (F.col("top.votes") / F.col("total")).alias("support"))
+    ))).alias("slots"))
+    # Flat columns: structs that pass a generator confuse nested-column pruning.
+    flat = tracks.select(
+        "track_id", "n_frames", "legacy_votes", "embossed_votes", F.col("best.canonical").alias("best_canonical"),
+        F.col("best.system").alias("best_system"), F.col("best.first.score").alias("best_score"),
+        F.col("best.first.confidence").alias("best_confidence"),
+    )
+    parts = flat.join(slots, "track_id", "left")
     if colours is not None:
         parts = parts.join(colours.select("track_id", F.col("colour").alias("track_colour")), "track_id", "left")
     else:
         parts = parts.withColumn("track_colour", F.lit(None).cast("string"))
+    chosen = _assembled(parts)
+    backing = plates.select("track_id", "canonical", F.col("votes").alias("backing"), "tops")
+    w = W.partitionBy("track_id").orderBy(F.col("votes").desc(), F.col("canonical").desc())
+    leaders = plates.select("track_id", "canonical", "votes").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top_k)
+    others = leaders.join(chosen.select("track_id", F.col("canonical").alias("won")), "track_id").filter("canonical <> won").groupBy(
+        "track_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("r", "canonical"))), lambda s: s["canonical"]),
+                                1, max(1, top_k - 1)).alias("alternatives"))
+    out = chosen.join(backing, ["track_id", "canonical"], "left").join(others, "track_id", "left")
+    agreement = F.when(F.col("n_frames") > 0, F.coalesce("tops", F.lit(0)) / F.col("n_frames")).otherwise(0.0)
+    return out.select(
+        "track_id", "canonical", "system", rebanded(F.col("band"), agreement, F.col("n_frames")).alias("confidence"), "plate_score",
+        F.log(F.greatest(F.coalesce("backing", F.lit(1e-9)), F.lit(1e-9))).alias("score"),
+        "n_frames", agreement.alias("agreement"),
+        F.coalesce("field_support", F.create_map().cast("map<string,double>")).alias("field_support"),
+        (F.coalesce("alternatives", F.array().cast("array<string>")) if top_k > 1 else F.array().cast("array<string>")).alias("alternatives"),
+        "assembled",
+    )
 
-    def joined(name: str) -> Column:
-        return F.concat_ws("", *[F.try_element_at("slots", F.lit(s))["value"] for s in SLOTS[name]])
 
-    def supports(name: str) -> Column:
-        return F.array_compact(F.array(*[F.try_element_at("slots", F.lit(s))["support"] for s in SLOTS[name]]))
+def _assembled(parts: DataFrame) -> DataFrame:
+    """One row per track: the assembled plate if legal, else the best whole plate."""
+    legacy = F.coalesce(F.col("legacy_votes"), F.lit(-1.0)) > F.coalesce(F.col("embossed_votes"), F.lit(-1.0))
 
-    is_legacy = F.col("system") == "devanagari"
-    raw = F.when(is_legacy, joined("devanagari")).otherwise(joined("embossed"))
-    text = F.when(is_legacy, P.strip_separators(raw)).otherwise(raw)
-    legal = F.when(is_legacy, text.rlike(P.NATIVE)).otherwise(text.rlike(P.EMBOSSED) & ~text.startswith("NEP"))
-    sup = F.when(is_legacy, supports("devanagari")).otherwise(supports("embossed"))
-    mean = F.aggregate(sup, F.lit(0.0), lambda a, x: a + x) / F.size(sup)
-    parts = parts.withColumn("text", text).withColumn("legal", legal).withColumn("mean_support", mean)
-    parsed = P.with_parsed(parts.withColumn("try_text", F.when(F.col("legal"), F.col("text"))), "try_text", "parsed",
-                           score=F.col("mean_support"), observed_colour="track_colour")
-    ok = F.col("legal")
-    chosen = parsed.select(
-        "track_id",
-        F.when(ok, F.col("parsed.canonical")).otherwise(F.col("best_plate")).alias("canonical"),
-        F.when(ok, F.col("system")).otherwise(F.col("best_system")).alias("system"),
-        F.when(ok, F.col("parsed.confidence")).otherwise(F.col("best_first.confidence")).alias("band"),
-        F.when(ok, F.col("mean_support")).otherwise(F.col("best_first.score")).alias("plate_score"),
-        F.when(ok, _support_map()).alias("field_support"), ok.alias("assembled"),
-    )
-    tops = candidates.withColumn("w", frame_weight(F.col("quality"), gamma)).filter("w > 0 and rank = 0").select(
-        "track_id", F.col("canonical").alias("top")
-    )
-    agree = tops.groupBy("track_id", "top").agg(F.count("*").alias("n")).join(
-        chosen.select("track_id", "canonical"), "track_id"
-    ).groupBy("track_id").agg(
-        F.sum("n").alias("n_frames"),
-        (F.sum(F.when(F.col("top") == F.col("canonical"), F.col("n")).otherwise(0)) / F.sum("n")).alias("agreement"),
-    )
-    backing = whole.select("track_id", F.col("canonical"), F.col("votes").alias("backing"))
-    ranked = whole.join(chosen.select("track_id", F.col("canonical").alias("_won")), "track_id").filter("canonical <> _won")
-    w = W.partitionBy("track_id").orderBy(F.col("votes").desc(), "canonical")
-    others = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max(0, top_k - 1)).groupBy("track_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r", "canonical"))), lambda s: s["canonical"]).alias("alternatives")
-    )
-    out = (
-        chosen.join(agree, "track_id", "left").join(backing, ["track_id", "canonical"], "left")
-        .join(others, "track_id", "left")
+    def of(name: str, part: str) -> list[Column]:
+        return [F.try_element_at("slots", F.lit(s))[part] for s in SLOTS[name]]
+
+    supports = F.when(legacy, F.array_compact(F.array(*of("devanagari", "support")))).otherwise(
+        F.array_compact(F.array(*of("embossed", "support"))))
+    staged = once(
+        parts,
+        legacy=legacy,
+        text=F.when(legacy, P.strip_separators(F.concat_ws("", *of("devanagari", "value")))).otherwise(F.concat_ws("", *of("embossed", "value"))),
+        mean_support=F.aggregate(supports, F.lit(0.0), lambda a, x: a + x) / F.size(supports),
     )
-    frames = F.coalesce("n_frames", F.lit(0).cast("bigint"))
-    agreement = F.coalesce("agreement", F.lit(0.0))
-    return out.select(
-        "track_id", "canonical", "system", rebanded(F.col("band"), agreement, frames).alias("confidence"), "plate_score",
-        F.log(F.greatest(F.coalesce("backing", F.lit(1e-9)), F.lit(1e-9))).alias("score"),
-        frames.alias("n_frames"), agreement.alias("agreement"),
-        F.coalesce("field_support", F.create_map().cast("map<string,double>")).alias("field_support"),
-        F.coalesce("alternatives", F.array().cast("array<string>")).alias("alternatives"), "assembled",
+    legal = F.when(F.col("legacy"), F.col("text").rlike(P.NATIVE)).otherwise(F.col("text").rlike(P.EMBOSSED) & ~F.col("text").startswith("NEP"))
+    staged = once(staged, legal=F.coalesce(legal, F.lit(False)))
+    parsed = P.with_parsed(staged.withColumn("_legal_text", F.when(F.col("legal"), F.col("text"))), "_legal_text", "parsed",
+                           score=F.col("mean_support"), observed_colour="track_colour")
+    ok, p = F.col("legal"), F.col("parsed")
+    return parsed.select(
+        "track_id", F.when(ok, p["canonical"]).otherwise(F.col("best_canonical")).alias("canonical"),
+        F.when(ok, p["system"]).otherwise(F.col("best_system")).alias("system"),
+        F.when(ok, p["confidence"]).otherwise(F.col("best_confidence")).alias("band"),
+        F.when(ok, F.col("mean_support")).otherwise(F.col("best_score")).alias("plate_score"),
+        F.when(ok, _support_map()).alias("field_support"), ok.alias("assembled"), "n_frames",
     )
 
 
@@ -217,11 +237,6 @@ def _support_map() -> Column:
     return F.transform_values("slots", lambda k, v: v["support"])
 
 
-def _top(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(F.col(by).desc(), tie)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-
-
 def rebanded(band: Column, agreement: Column, n_frames: Column) -> Column:
     """Confidence band adjusted by agreement across frames; one frame caps at medium."""
     return (

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from ..functions.once import once
+from ..functions.plates import fields_of
 from ..functions.pseudonym import PlateHasher
 from ..sources.tables import SCHEMAS, load
 
@@ -402,7 +404,7 @@ class Tables:
 
     def keyed(self, name: str) -> DataFrame:
         """A table with the pseudonym of its plate, as stored tables have it."""
-        return getattr(self, name).withColumn("plate_hmac", self.hasher.hash(F.col("plate_canonical")))
+        return once(getattr(self, name), plate_hmac=self.hasher.hash(F.col("plate_canonical")))
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -434,18 +436,15 @@ class Tables:
 
     @cached_property
     def candidate_rows(self) -> DataFrame:
-        """Ranked decodings with their parsed fields, scored as the candidate is."""
-        from ..functions.plates import with_parsed
-
-        rows = with_parsed(self.candidates, "canonical", "parsed", score=F.col("score"))
-        return rows.withColumn("fields", F.col("parsed.fields")).drop("parsed")
+        """Ranked decodings with their fields, scored as the candidate is."""
+        return fields_of(self.candidates, "canonical", F.col("score"))
 
     @cached_property
     def evidence(self) -> DataFrame:
         """Frame evidence: embeddings cut into eight timesteps of eight classes."""
         grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice(
             F.col("embedding").cast("array<double>"), t * 8 + 1, F.lit(8)))
-        mass = [(c, F.abs(F.col("embedding")[i].cast("double"))) for i, c in enumerate(R.COLOURS)]
+        mass = [(c, F.abs(F.col("embedding")[i].cast("double")) * 6) for i, c in enumerate(R.COLOURS)]
         return self.embeddings.select(
             F.col("label").cast("string").alias("track_id"), F.col("vec_id").alias("frame"),
             ((F.col("vec_id") % 10 + 1) / 10.0).alias("quality"), grid.alias("log_probs"),

@@ -71,41 +71,44 @@ def impossible_pairs(
         F.collect_list(F.struct(F.col("node_id").alias("n"), F.col("lat").alias("la"), F.col("lon").alias("lo"))).alias("stops")
     ).filter(F.size("stops") > 1)
     second = 1_000_000
-    probes = here.join(routes, "plate_hmac").withColumn("stop", F.explode("stops")).filter("stop.n <> node_id")
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("stop.la"), F.col("stop.lo"))
-    hours = F.lit(max_speed_kmh)
-    probes = probes.withColumn("km", km).filter(
-        # Closer nodes than this are reachable within the smallest interval that counts.
-        F.col("km") > hours * F.lit(min_interval_seconds / 3600.0)
-    ).select(
-        "plate_hmac", F.col("stop.n").alias("place"),
-        (F.col("t") - F.lit(int(min_interval_seconds * second))).alias("at"), F.lit(1).alias("is_probe"),
-        F.struct("id", "plate_canonical", "node_id", "captured_at", "t", "km").alias("probe"),
-        F.lit(None).cast("struct<t:bigint,neg_id:bigint>").alias("seen"),
-    )
-    sightings = here.groupBy("plate_hmac", F.col("node_id").alias("place"), "t").agg(F.min("id").alias("id")).select(
-        "plate_hmac", "place", F.col("t").alias("at"), F.lit(0).alias("is_probe"),
-        F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"),
+    # Each read stands on the line of its own place as a sighting and on the lines of the other
+    # places as a probe. A sighting at the probe's own instant counts, so it sorts first.
+    speed = F.lit(max_speed_kmh)
+    probe = F.struct("id", "plate_canonical", "node_id", "captured_at", "t")
+    sighting = F.array(F.struct(
+        F.col("node_id").alias("place"), (F.col("t") * 2).alias("pos"), F.lit(None).cast("double").alias("km"),
         F.struct("t", (-F.col("id")).alias("neg_id")).alias("seen"),
+    ))
+
+    def ask(stop: Column) -> Column:
+        return F.struct(
+            stop["n"].alias("place"), ((F.col("t") - F.lit(int(min_interval_seconds * second))) * 2 + 1).alias("pos"),
+            haversine_km(F.col("lat"), F.col("lon"), stop["la"], stop["lo"]).alias("km"),
+            F.lit(None).cast("struct<t:bigint,neg_id:bigint>").alias("seen"),
+        )
+
+    # Nodes closer than this are reachable within the smallest interval that counts.
+    far = F.filter(
+        F.transform(F.filter("stops", lambda s: s["n"] != F.col("node_id")), ask),
+        lambda a: a["km"] > speed * F.lit(min_interval_seconds / 3600.0),
     )
-    # Sort key: a sighting at the probe's own instant counts, so it comes first.
-    line = sightings.unionByName(probes).withColumn("pos", F.col("at") * 2 + F.col("is_probe"))
-    ten_minutes = F.floor(F.col("at") / F.lit(600 * second)).cast("bigint")
+    line = here.join(routes, "plate_hmac").select("plate_hmac", probe.alias("probe"), F.inline(F.concat(sighting, far)))
+    ten_minutes = F.floor(F.col("pos") / F.lit(2 * 600 * second)).cast("bigint")
     answered = with_running(line, ["plate_hmac", "place"], "pos", F.col("seen"), "last", block=ten_minutes)
     dt = (F.col("probe.t") - F.col("last.t")) / F.lit(float(second))
-    found = answered.filter("is_probe = 1 and last is not null").withColumn("dt", dt).filter(
+    found = answered.filter("km is not null and last is not null").withColumn("dt", dt).filter(
         F.col("dt") <= lookback_hours * 3600
-    ).withColumn("speed", F.col("probe.km") / (F.col("dt") / 3600.0)).filter(F.col("speed") > max_speed_kmh)
+    ).withColumn("speed", F.col("km") / (F.col("dt") / 3600.0)).filter(F.col("speed") > max_speed_kmh)
     # One anomaly per read: the shortest interval, then the smaller other id.
     best = found.groupBy(F.col("probe.id").alias("id")).agg(
-        F.max(F.struct("last", "plate_hmac", "place", "probe", "dt", "speed")).alias("b")
+        F.max(F.struct("last", "plate_hmac", "place", "probe", "km", "dt", "speed")).alias("b")
     )
     b = F.col("b")
     return best.select(
         (-b["last"]["neg_id"]).alias("other_id"), F.col("id").alias("read_id"), b["plate_hmac"].alias("plate_hmac"),
         b["probe"]["plate_canonical"].alias("plate_canonical"), b["place"].alias("from_node"),
         b["probe"]["node_id"].alias("to_node"), b["probe"]["captured_at"].alias("captured_at"),
-        F.round(b["probe"]["km"], 2).alias("distance_km"), F.round(b["dt"], 1).alias("interval_seconds"),
+        F.round(b["km"], 2).alias("distance_km"), F.round(b["dt"], 1).alias("interval_seconds"),
         F.round(b["speed"], 1).alias("implied_speed_kmh"),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import in_polygon, reference_x, reference_y
+from ..session import materialise
 from .ordered import BLOCK, with_halo, with_running
 
 KEYS = ["camera_id", "track_id", "zone_id"]
@@ -92,14 +93,15 @@ def sessions(frames: DataFrame, zones: DataFrame, **options) -> DataFrame:
     A session longer than the zone's maximum ends as ``timed_out`` at the first camera frame
     past it; it is not reopened while the track stays inside.
     """
-    members = memberships(frames, zones)
-    events = transitions(members, **options)
+    # Transitions are a small part of the frames: written once, so that no later step runs over
+    # the frames again.
+    events = materialise(transitions(memberships(frames, zones), **options))
     camera_frames = frames.groupBy("camera_id", "frame_index").agg(F.min("ts").alias("frame_ts"))
     # A loss is dated by the camera's frame after the last one; without such a frame the session is open.
-    lost = events.filter("kind = 'lost'").join(
-        camera_frames.withColumnRenamed("frame_index", "at_frame"), ["camera_id", "at_frame"]
-    ).select(*KEYS, "kind", "at_frame", F.col("frame_ts").alias("at"), "max_dwell_seconds")
-    line = events.filter("kind <> 'lost'").unionByName(lost)
+    dated = events.join(camera_frames.withColumnRenamed("frame_index", "at_frame"), ["camera_id", "at_frame"], "left").filter(
+        "kind <> 'lost' or frame_ts is not null")
+    line = dated.withColumn("at", F.coalesce("at", "frame_ts"))
+    # Events of one key alternate and are few; frames were reduced to them block by block.
     w = W.partitionBy(*KEYS).orderBy("at_frame", F.when(F.col("kind") == "entry", 1).otherwise(0))
     paired = line.withColumn("_end", F.lead(F.struct("kind", "at_frame", "at")).over(w)).filter("kind = 'entry'")
     opened = paired.select(
@@ -107,8 +109,7 @@ def sessions(frames: DataFrame, zones: DataFrame, **options) -> DataFrame:
         F.col("_end.at_frame").alias("end_frame"), F.col("_end.at").alias("end_at"),
         F.when(F.col("_end.kind") == "exit", "exited").when(F.col("_end.kind") == "lost", "track_lost").alias("end_reason"),
     )
-    late = _timeouts(opened, camera_frames)
-    full = opened.join(late, [*KEYS, "entry_frame"], "left")
+    full = _with_timeouts(opened, camera_frames)
     timed = F.col("timeout_frame").isNotNull()
     exited_at = F.when(timed, F.col("timeout_at")).otherwise(F.col("end_at"))
     dwell = F.greatest(F.lit(0.0), (F.unix_micros(exited_at) - F.unix_micros("entered_at")) / F.lit(1_000_000.0))
@@ -121,35 +122,30 @@ def sessions(frames: DataFrame, zones: DataFrame, **options) -> DataFrame:
     )
 
 
-def _timeouts(opened: DataFrame, camera_frames: DataFrame) -> DataFrame:
-    """First camera frame past the dwell limit and before the session's own end.
+def _with_timeouts(opened: DataFrame, camera_frames: DataFrame) -> DataFrame:
+    """Add the first camera frame past the dwell limit and before the session's own end.
 
-    A forward as-of lookup: the deadlines and the camera's frames form one line per camera,
-    and the next frame after each deadline is a running minimum from the far end.
+    A forward as-of lookup: sessions stand at their deadline on one line with the camera's
+    frames, and the next frame after each deadline is a running minimum from the far end.
     """
-    micros = F.unix_micros("entered_at") + (F.col("max_dwell_seconds") * 1_000_000).cast("bigint")
-    struct = "struct<camera_id:string,track_id:bigint,zone_id:string,entry_frame:bigint,end_frame:bigint>"
+    deadline = F.unix_micros("entered_at") + (F.col("max_dwell_seconds") * 1_000_000).cast("bigint")
+    tick = "struct<pos:bigint,frame:bigint,ts:timestamp>"
     asks = opened.select(
-        "camera_id", (micros * 2 + 1).alias("pos"),
-        F.struct("camera_id", "track_id", "zone_id", "entry_frame", "end_frame").cast(struct).alias("ask"),
-        F.lit(None).cast("struct<pos:bigint,frame:bigint,ts:timestamp>").alias("frame"),
+        "camera_id", (deadline * 2 + 1).alias("pos"), F.struct(*opened.columns).alias("ask"), F.lit(None).cast(tick).alias("tick")
     )
     ticks = camera_frames.select(
-        "camera_id", (F.unix_micros("frame_ts") * 2).alias("pos"), F.lit(None).cast(struct).alias("ask"),
+        "camera_id", (F.unix_micros("frame_ts") * 2).alias("pos"), F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"),
         F.struct(
-            (F.unix_micros("frame_ts") * 2).alias("pos"), F.col("frame_index").cast("bigint").alias("frame"),
-            F.col("frame_ts").alias("ts"),
-        ).alias("frame"),
+            (F.unix_micros("frame_ts") * 2).alias("pos"), F.col("frame_index").cast("bigint").alias("frame"), F.col("frame_ts").alias("ts"),
+        ).alias("tick"),
     )
     hour = F.floor(F.col("pos") / F.lit(2 * 3_600_000_000)).cast("bigint")
     answered = with_running(
-        ticks.unionByName(asks), ["camera_id"], "pos", F.col("frame"), "next", func=F.min, forward=False, block=hour
-    )
+        ticks.unionByName(asks), ["camera_id"], "pos", F.col("tick"), "next", func=F.min, forward=False, block=hour
+    ).filter("ask is not null")
     before_end = F.col("ask.end_frame").isNull() | (F.col("next.frame") < F.col("ask.end_frame"))
-    return answered.filter(F.col("ask").isNotNull() & F.col("next").isNotNull() & before_end).select(
-        F.col("ask.camera_id").alias("camera_id"), F.col("ask.track_id").alias("track_id"),
-        F.col("ask.zone_id").alias("zone_id"), F.col("ask.entry_frame").alias("entry_frame"),
-        F.col("next.frame").alias("timeout_frame"), F.col("next.ts").alias("timeout_at"),
+    return answered.select(
+        "ask.*", F.when(before_end, F.col("next.frame")).alias("timeout_frame"), F.when(before_end, F.col("next.ts")).alias("timeout_at"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..functions import plates as P
 from ..functions.once import once
+from ..session import materialise
 
 
 def frame_weight(quality: Column, gamma: float = 2.0) -> Column:
@@ -102,53 +103,50 @@ def plate_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: f
     """Evidence per (track, plate), the only pass over the frames.
 
     A candidate votes with frame weight times its score, halved per rank; each of its fields
-    votes with that times the field's own score. Also kept: the score and band the plate was
-    first seen with, and in how many frames it was the top choice (``tops``). Votes are summed
-    before the shuffle. ``pooled`` candidates vote with the track's whole frame weight.
+    votes with that times the field's own score (``s_*``). Also kept: the score and band the
+    plate was first seen with, and in how many frames it was the top choice (``tops``). All
+    buffers are numbers, so the sums are hashed before the shuffle and never sorted.
+    ``pooled`` candidates vote with the track's whole frame weight.
     """
     w = frame_weight(F.col("quality"), gamma)
+    rank = F.col("rank").cast("bigint")
     rows = candidates.withColumn("w", w).filter("w > 0").select(
-        "track_id", "system", "canonical", "score", "confidence", "rank",
-        F.struct(F.lit(0).alias("late"), F.col("frame").cast("bigint").alias("frame"), F.col("rank").cast("int").alias("rank")).alias("seen"),
-        F.when(F.col("rank") == 0, F.col("w")).otherwise(0.0).alias("top_w"),
-        (F.col("rank") == 0).alias("top"),
-        (F.col("w") * F.col("score") * F.pow(F.lit(0.5), F.col("rank"))).alias("cw"), _slot_map(F.col("fields")).alias("slots"),
+        "track_id", "system", "canonical", "score", P.band_rank(F.col("confidence")).alias("band"),
+        (F.col("frame").cast("bigint") * 64 + rank).alias("seen"), F.when(rank == 0, F.col("w")).otherwise(0.0).alias("top_w"),
+        (rank == 0).alias("top"), (F.col("w") * F.col("score") * F.pow(F.lit(0.5), rank)).alias("cw"),
+        F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], f["score"]))).alias("scores"),
     )
-    votes = _summed(rows)
     if pooled is None:
-        return votes
+        return _summed(rows)
     weight = rows.groupBy("track_id").agg(F.sum("top_w").alias("total_w"))
     extra = pooled.join(weight, "track_id", "left").select(
-        "track_id", "system", "canonical", "score", "confidence", "rank",
-        F.struct(F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("frame"), F.col("rank").cast("int").alias("rank")).alias("seen"),
-        F.lit(0.0).alias("top_w"), F.lit(False).alias("top"), (F.coalesce("total_w", F.lit(1.0)) * F.col("score")).alias("cw"),
+        "track_id", "system", "canonical", "score", P.band_rank(F.col("confidence")).alias("band"),
+        (F.lit(1 << 62) + rank).alias("seen"), F.lit(0.0).alias("top_w"), F.lit(False).alias("top"),
+        (F.coalesce("total_w", F.lit(1.0)) * F.col("score")).alias("cw"),
         # Field votes of a pooled candidate carry the plate's score.
-        _slot_map(F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), F.col("score").alias("score")))).alias("slots"),
+        F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], F.col("score").alias("score")))).alias("scores"),
     )
     return _summed(rows.unionByName(extra))
 
 
-def _slot_map(fields: Column) -> Column:
-    return F.map_from_entries(F.transform(fields, lambda f: F.struct(
-        f["name"].alias("k"), F.struct(f["value"].alias("value"), f["score"].alias("score")).alias("v"))))
-
-
 def _summed(rows: DataFrame) -> DataFrame:
-    aggs = []
-    for slot in _ALL_SLOTS:
-        cell = F.try_element_at("slots", F.lit(slot))
-        aggs.append(F.max(cell["value"]).alias(f"v_{slot}"))
-        aggs.append(F.sum(F.col("cw") * F.greatest(cell["score"], F.lit(1e-6))).alias(f"s_{slot}"))
+    votes = [
+        F.sum(F.col("cw") * F.greatest(F.try_element_at("scores", F.lit(s)), F.lit(1e-6))).alias(f"s_{s}") for s in _ALL_SLOTS
+    ]
     return rows.groupBy("track_id", "canonical", "system").agg(
-        F.sum("cw").alias("votes"), F.min_by(F.struct("score", "confidence"), F.col("seen")).alias("first"),
-        F.count_if("top").alias("tops"), *aggs,
+        F.sum("cw").alias("votes"), F.min_by("score", "seen").alias("first_score"), F.min_by("band", "seen").alias("first_band"),
+        F.count_if("top").alias("tops"), *votes,
     )
 
 
 def field_votes(plates: DataFrame) -> DataFrame:
-    """Votes per (track, field, value) of the evidence table."""
-    cells = F.array(*[F.struct(F.lit(s).alias("field"), F.col(f"v_{s}").alias("value"), F.col(f"s_{s}").alias("votes")) for s in _ALL_SLOTS])
-    rows = plates.select("track_id", F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
+    """Votes per (track, field, value). A plate's field values follow from its key; a field
+    without votes was absent (a legacy plate without lot shares the key of lot 0)."""
+    with_fields = P.fields_of(plates, "canonical", F.lit(None).cast("double"))
+    votes = F.create_map(*[x for s in _ALL_SLOTS for x in (F.lit(s), F.col(f"s_{s}"))])
+    rows = with_fields.select("track_id", votes.alias("votes"), F.explode("fields").alias("f")).select(
+        "track_id", F.col("f.name").alias("field"), F.col("f.value").alias("value"), F.try_element_at("votes", F.col("f.name")).alias("votes")
+    ).filter("votes is not null")
     return rows.groupBy("track_id", "field", "value").agg(F.sum("votes").alias("votes"))
 
 
@@ -162,9 +160,11 @@ def fuse(
     best whole plate stands. Ties go to the larger value. Frames are reduced to distinct
     plates first; everything after is aggregates and a group-limited window over those.
     """
-    plates = plate_votes(candidates, pooled, gamma)
+    # Distinct plates are a small part of the frames: written once, so that the steps below
+    # never run over the frames again.
+    plates = materialise(plate_votes(candidates, pooled, gamma))
     tracks = plates.groupBy("track_id").agg(
-        F.max(F.struct("votes", "canonical", "system", "first")).alias("best"), F.sum("tops").alias("n_frames"),
+        F.max(F.struct("votes", "canonical", "system", "first_score", "first_band")).alias("best"), F.sum("tops").alias("n_frames"),
         F.sum(F.when(F.col("system") == "devanagari", F.col("votes"))).alias("legacy_votes"),
         F.sum(F.when(F.col("system") == "embossed", F.col("votes"))).alias("embossed_votes"),
     )
@@ -177,8 +177,8 @@ def fuse(
     # Flat columns: structs that pass a generator confuse nested-column pruning.
     flat = tracks.select(
         "track_id", "n_frames", "legacy_votes", "embossed_votes", F.col("best.canonical").alias("best_canonical"),
-        F.col("best.system").alias("best_system"), F.col("best.first.score").alias("best_score"),
-        F.col("best.first.confidence").alias("best_confidence"),
+        F.col("best.system").alias("best_system"), F.col("best.first_score").alias("best_score"),
+        F.element_at(F.array(*[F.lit(b) for b in R.BANDS]), F.col("best.first_band") + 1).alias("best_confidence"),
     )
     parts = flat.join(slots, "track_id", "left")
     if colours is not None:

@@ -41,37 +41,34 @@ def transitions(members: DataFrame, max_run: int = 64, block: int = BLOCK, lost_
     near = with_halo(members, "frame_index", before=reach, after=1 + lost_grace_frames, size=block)
     w = W.partitionBy(*KEYS, "_block").orderBy("frame_index")
     step = 1 + lost_grace_frames
-    rows = near.withColumn("_pf", F.lag("frame_index").over(w)).withColumn("_pi", F.lag("inside").over(w)).withColumn(
-        "_nf", F.lead("frame_index").over(w)
+    lagged = near.select(
+        "*", F.lag("frame_index").over(w).alias("_pf"), F.lag("inside").over(w).alias("_pi"),
+        F.lead("frame_index").over(w).alias("_nf"), F.row_number().over(w).alias("_n"),
     )
     starts = F.col("_pf").isNull() | (F.col("frame_index") - F.col("_pf") > step)
-    rows = rows.withColumn("_starts", starts).withColumn(
-        "_ends", F.col("_nf").isNull() | (F.col("_nf") - F.col("frame_index") > step)
-    )
-    changes = F.col("_starts") | (F.col("inside") != F.col("_pi"))
-    runs = rows.withColumn("_run", F.sum(F.when(changes, 1).otherwise(0)).over(w))
-    in_run = W.partitionBy(*KEYS, "_block", "_run").orderBy("frame_index")
-    runs = runs.withColumn("_len", F.row_number().over(in_run)).filter("_core")
+    ends = F.col("_nf").isNull() | (F.col("_nf") - F.col("frame_index") > step)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    run_start = F.last(F.when(starts | (F.col("inside") != F.col("_pi")), F.col("_n")), ignorenulls=True).over(upto)
+    runs = lagged.select("*", starts.alias("_starts"), ends.alias("_ends"), (F.col("_n") - run_start + 1).alias("_len")).filter("_core")
     signal = (
         F.when(F.col("inside") & (F.col("_len") >= F.col("enter_frames")), True)
         .when(~F.col("inside") & (F.col("_len") >= F.col("exit_frames")), False)
         .when(F.col("_starts"), False)
     )
-    signalled = runs.withColumn("_signal", signal)
+    signalled = runs.select(*KEYS, "_block", "frame_index", "ts", "max_dwell_seconds", "_starts", "_ends", signal.alias("_signal"))
     summary = signalled.groupBy(*KEYS, "_block").agg(
         F.max_by("_signal", F.when(F.col("_signal").isNotNull(), F.col("frame_index"))).alias("_last")
     )
     carry = summary.select(*KEYS, "_block", F.last("_last", ignorenulls=True).over(
         W.partitionBy(*KEYS).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     ).alias("_carry"))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    latched = signalled.join(carry, [*KEYS, "_block"], "left").withColumn(
-        "_latch", F.coalesce(F.last("_signal", ignorenulls=True).over(upto), "_carry", F.lit(False))
-    )
-    before = F.when(F.col("_starts"), False).otherwise(
-        F.coalesce(F.lag("_latch").over(w), "_carry", F.lit(False))
+    known = signalled.select(
+        "*", F.last("_signal", ignorenulls=True).over(upto).alias("_now"),
+        F.last("_signal", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_was"),
+    ).join(carry, [*KEYS, "_block"], "left")
+    rows = known.withColumn("_latch", F.coalesce("_now", "_carry", F.lit(False))).withColumn(
+        "_before", F.when(F.col("_starts"), False).otherwise(F.coalesce("_was", "_carry", F.lit(False)))
     )
-    rows = latched.withColumn("_before", before)
     kinds = F.array_compact(F.array(
         F.when(F.col("_latch") & ~F.col("_before"), F.struct(F.lit("entry").alias("kind"), F.col("frame_index").alias("at_frame"))),
         F.when(~F.col("_latch") & F.col("_before"), F.struct(F.lit("exit").alias("kind"), F.col("frame_index").alias("at_frame"))),

@@ -52,9 +52,9 @@ def impossible_pairs(
 ) -> DataFrame:
     """For each trusted read, the latest earlier sighting elsewhere it could not have driven from.
 
-    Reads of a plate are never paired with each other. Per other node of the plate only the
-    last sighting at least ``min_interval_seconds`` before the read can be the fastest, so each
-    read sends one probe per other node it may conflict with, and a running maximum over
+    Reads of a plate are never paired with each other. Per other node only the last sighting at
+    least ``min_interval_seconds`` before the read can be the fastest, so each read sends one
+    probe per node its plate was at around that time, and a running maximum over
     ``(plate, node)`` time blocks answers it. Work grows with reads, not with their square.
     """
     places = nodes.filter("latitude is not null and longitude is not null").select(
@@ -65,11 +65,16 @@ def impossible_pairs(
         "id", "plate_hmac", "plate_canonical", "node_id", "captured_at",
         F.unix_micros("captured_at").alias("t"), "lat", "lon",
     )
-    # Distinct places per plate: bounded by the camera network, and plates seen at one node drop out.
-    stops = here.groupBy("plate_hmac", "node_id").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-    routes = stops.groupBy("plate_hmac").agg(
-        F.collect_list(F.struct(F.col("node_id").alias("n"), F.col("lat").alias("la"), F.col("lon").alias("lo"))).alias("stops")
-    ).filter(F.size("stops") > 1)
+    # Places a plate is seen at around each quarter of a day: few, and far fewer than its places
+    # over all time. The window reaches both ways, so a sighting is kept for reads still to come.
+    quarter = 6 * 3600 * 1_000_000
+    reach = -(-lookback_hours // 6) + 1
+    here = here.withColumn("slot", F.floor(F.col("t") / F.lit(quarter)).cast("bigint"))
+    stops = here.groupBy("plate_hmac", "node_id", "slot").agg(F.min("lat").alias("la"), F.min("lon").alias("lo")).select(
+        "plate_hmac", F.struct(F.col("node_id").alias("n"), "la", "lo").alias("stop"),
+        F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot"),
+    )
+    routes = stops.groupBy("plate_hmac", "slot").agg(F.collect_set("stop").alias("stops")).filter(F.size("stops") > 1)
     second = 1_000_000
     # Each read stands on the line of its own place as a sighting and on the lines of the other
     # places as a probe. A sighting at the probe's own instant counts, so it sorts first.
@@ -92,7 +97,7 @@ def impossible_pairs(
         F.transform(F.filter("stops", lambda s: s["n"] != F.col("node_id")), ask),
         lambda a: a["km"] > speed * F.lit(min_interval_seconds / 3600.0),
     )
-    line = here.join(routes, "plate_hmac").select("plate_hmac", probe.alias("probe"), F.inline(F.concat(sighting, far)))
+    line = here.join(routes, ["plate_hmac", "slot"]).select("plate_hmac", probe.alias("probe"), F.inline(F.concat(sighting, far)))
     ten_minutes = F.floor(F.col("pos") / F.lit(2 * 600 * second)).cast("bigint")
     answered = with_running(line, ["plate_hmac", "place"], "pos", F.col("seen"), "last", block=ten_minutes)
     dt = (F.col("probe.t") - F.col("last.t")) / F.lit(float(second))

@@ -164,17 +164,11 @@ def _(t):
     return _all(t).select("kind", "severity", "plate_canonical", "detected_at", F.element_at("read_ids", -1).alias("read_id"))
 
 
-@query("ano6_distances", "nodes", sql=f"""
-SELECT a.node_id AS from_node, b.node_id AS to_node, round({_KM.format(a='a', b='b')}, 6) AS km FROM nodes a JOIN nodes b ON a.active AND NOT b.active
-UNION ALL SELECT 'event', cast(event_id as string), round(2 * 6371.0 * asin(sqrt(pow(sin(radians(value / 10 - 27.7) / 2), 2) + cos(radians(27.7)) * cos(radians(value / 10)) * pow(sin(radians(1.5) / 2), 2))), 6) FROM events""")
+@query("ano6_distances", sql="""
+SELECT event_id AS id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(value / 10 - 27.7) / 2), 2) + cos(radians(27.7)) * cos(radians(value / 10)) * pow(sin(radians(1.5) / 2), 2))), 6) AS km FROM events""")
 def _(t):
-    a = t.nodes.filter("active").select("active", F.col("node_id").alias("from_node"), F.col("latitude").alias("la"), F.col("longitude").alias("lo"))
-    b = t.nodes.filter("not active").select((~F.col("active")).alias("active"), F.col("node_id").alias("to_node"), "latitude", "longitude")
-    pairs = a.join(b, "active").select("from_node", "to_node", F.round(G.haversine_km(F.col("la"), F.col("lo"), F.col("latitude"), F.col("longitude")), 6).alias("km"))
-    v = F.col("value") / 10
-    rows = t.events.select(F.lit("event").alias("from_node"), F.col("event_id").cast("string").alias("to_node"),
-                           F.round(G.haversine_km(F.lit(27.7), F.lit(83.0), v, F.lit(84.5)), 6).alias("km"))
-    return pairs.unionByName(rows)
+    km = G.haversine_km(F.lit(27.7), F.lit(83.0), F.col("value") / 10, F.lit(84.5))
+    return t.events.select(F.col("event_id").alias("id"), F.round(km, 6).alias("km"))
 
 
 @query("ano7_open_anomalies", "reads", "nodes", "registry", sql=_ALL + """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ... import refdata as R
 from ...functions import ctc
+from ...functions.once import once
 from ...operators import evaluation as E
 from ...operators import fusion as U
 from ...operators import zones as Z
@@ -148,6 +149,21 @@ def _(t):
     return live.run_to_table(live.hourly_rollup(reads), shared_dir(t.spark)).drop("n_distinct_plates")
 
 
+@query("qry3_stream_feed", "reads", sql="SELECT id, captured_at, plate_canonical, confidence FROM reads WHERE NOT provisional AND camera_id = 'CAM-view'")
+def _(t):
+    feed = live.final_reads(_stream(t, "reads"), "CAM-view").select("id", "captured_at", "plate_canonical", "confidence")
+    return live.run_to_table(feed, shared_dir(t.spark))
+
+
+@query("scr1_stream_hits", "reads", "watchlist", sql=f"""
+SELECT r.id AS read_id, w.id AS watchlist_id, r.confidence = 'high' AS actionable FROM reads r JOIN watchlist w USING (plate_canonical)
+WHERE r.verified AND w.active AND (w.expires_at IS NULL OR w.expires_at > TIMESTAMP '{A.AS_OF}')""")
+def _(t):
+    reads = once(_stream(t, "reads"), plate_hmac=t.hasher.hash(F.col("plate_canonical")))
+    hits = live.live_hits(reads, t.keyed("watchlist"), A.AS_OF).select("read_id", "watchlist_id", "actionable")
+    return live.run_to_table(hits, shared_dir(t.spark))
+
+
 @query("ing1_stream_ingest", "deliveries", sql=", d AS (" + intake._ENVELOPE.replace("AS seq", "AS seq, sequence, sha256(payload) = payload_hash AND signature_ok AS ok").format(deliveries="deliveries") + """),
 once AS (SELECT batch_node, sequence, bool_and(ok) AS ok FROM d WHERE seq IS NOT NULL AND seq <> 'x1' AND claimed = batch_node GROUP BY ALL)
 SELECT batch_node AS node_id, count(*) AS n_events, count(*) FILTER (WHERE ok) AS n_verified FROM once GROUP BY 1""")

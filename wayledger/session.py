@@ -1,4 +1,4 @@
-"""Session settings, shared-folder lookup, checked broadcasts."""
+"""Session settings, the shared folder, cutting lineage."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,10 +46,3 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting: at most ``max_rows`` rows, else leave the plan
-    to shuffle (AQE then splits skewed partitions). The count stops at ``max_rows + 1``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chain, ingest
+from ..operators.screening import screen
 from ..sources import events as ev
 
 
@@ -69,6 +70,17 @@ def hourly_rollup(reads: DataFrame, late: str = "3 days") -> DataFrame:
     )
 
 
+def final_reads(reads: DataFrame, camera_id: str | None = None) -> DataFrame:
+    """Live feed: final reads as they arrive, for an append sink."""
+    rows = reads.filter(~F.col("provisional"))
+    return rows.filter(F.col("camera_id") == camera_id) if camera_id else rows
+
+
+def live_hits(reads: DataFrame, watchlist: DataFrame, as_of) -> DataFrame:
+    """Watch-list hits of a read stream: a stream-static join on the pseudonym."""
+    return screen(reads, watchlist, as_of)
+
+
 def passages(frames: DataFrame, idle_seconds: float, late: str = "10 seconds") -> DataFrame:
     """Passages as event-time sessions per camera and track."""
     gap = f"{int(idle_seconds * 1000)} milliseconds"
@@ -111,9 +123,10 @@ def _debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         wake = int(rows["ts"].max().timestamp() * 1000) + 60_000
         state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
     columns = [c.split()[0] for c in _EVENTS.split(", ")]
-    frame = pd.DataFrame(out, columns=columns)
-    frame["at"] = pd.to_datetime(frame["at"])
-    yield frame
+    if out:
+        frame = pd.DataFrame(out, columns=columns)
+        frame["at"] = pd.to_datetime(frame["at"])
+        yield frame
 
 
 def zone_transitions(members: DataFrame, late: str = "10 seconds") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from .ordered import block_of, with_halo, with_previous, with_running
+from .ordered import block_of, with_halo, with_running
 
 
 def link_candidates(detections: DataFrame, threshold: float = 0.30, cell: float = 256.0) -> DataFrame:
@@ -39,12 +39,18 @@ def link_candidates(detections: DataFrame, threshold: float = 0.30, cell: float
 
 
 def with_passage(frames: DataFrame, idle_frames: int = 12) -> DataFrame:
-    """Add ``passage_start``: frame that opened the passage. A longer gap opens a new one."""
+    """Add ``passage_start``: frame that opened the passage. A longer gap opens a new one.
+
+    A row opens a passage when no row of its track lies within the idle limit before it, which
+    copies of the rows near a block border decide inside the block.
+    """
     keys = ["camera_id", "track_id"]
-    prev = with_previous(frames, keys, "frame_index", ["frame_index"])
-    gap = F.col("frame_index") - F.col("prev_frame_index")
-    opens = F.when(F.col("prev_frame_index").isNull() | (gap > idle_frames), F.col("frame_index"))
-    return with_running(prev, keys, "frame_index", opens, "passage_start").drop("prev_frame_index")
+    near = with_halo(frames, "frame_index", before=idle_frames)
+    w = W.partitionBy(*keys, "_block").orderBy("frame_index")
+    gap = F.col("frame_index") - F.lag("frame_index").over(w)
+    opened = near.withColumn("_gap", gap).filter("_core")
+    opens = F.when(F.col("_gap").isNull() | (F.col("_gap") > idle_frames), F.col("frame_index"))
+    return with_running(opened, keys, "frame_index", opens, "passage_start").drop("_gap", "_core", "_block")
 
 
 def passages(frames: DataFrame, idle_frames: int = 12) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,23 @@ def test_stills_are_numbered_per_folder(spark):
     assert got == [("/a/9.bmp", 1), ("/b/1.png", 1), ("/b/2.JPG", 2)]
 
 
+def test_thinning_equals_the_greedy_rule(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for cam in ("a", "b"):
+        t, last = 0, None
+        for i in range(600):
+            t += rng.choice([10_000, 33_000, 40_000, 90_000, 5_000_000 if i % 97 == 0 else 20_000])
+            rows.append((cam, i, datetime(2024, 1, 1) + timedelta(microseconds=t)))
+            if last is None or t - last >= 1_000_000 / 15:
+                want.add((cam, i))
+                last = t
+    df = spark.createDataFrame(rows, "camera_id string, frame_index bigint, ts timestamp")
+    for block in (1, 2, 600):
+        got = {(r.camera_id, r.frame_index) for r in frames.thinned(df, 15.0, block_seconds=block).collect()}
+        assert got == want
+
+
 def test_split_never_splits_a_track(spark):
     rows = [(f"p{i}", f"t{i // 10}") for i in range(400)]
     out = E.split_corpus(spark.createDataFrame(rows, "path string, track_id string"), 0.1, seed=1)

@@ -98,14 +98,20 @@ def _(t):
     return frames.number_stills(files, AS_OF).select("path", "frame_index", "ts")
 
 
-@query("src5_thinning", "track_frames", sql="""
-SELECT camera_id, count(*) FILTER (WHERE frame_index % 3 = 0) AS n_stride, count(DISTINCT floor(epoch_us(ts) / 1000000.0 / 10)) AS n_slots
-FROM (SELECT DISTINCT camera_id, frame_index, ts FROM track_frames) t GROUP BY camera_id""")
+@query("src5_stride", "track_frames", sql="""
+SELECT camera_id, frame_index FROM track_frames WHERE frame_index % 3 = 0 GROUP BY ALL""")
+def _(t):
+    return frames.every_nth(t.frames.select("camera_id", "frame_index").distinct(), 3)
+
+
+@query("src5_thinning", "track_frames", recursive=True, sql="""
+, f AS (SELECT DISTINCT camera_id, ts FROM track_frames), kept AS (SELECT camera_id, min(ts) AS ts FROM f GROUP BY camera_id
+ UNION ALL SELECT camera_id, ts FROM (SELECT k.camera_id, min(f.ts) AS ts FROM kept k JOIN f ON f.camera_id = k.camera_id AND f.ts >= k.ts + INTERVAL 1000 SECONDS GROUP BY k.camera_id) n)
+SELECT camera_id, ts FROM kept""")
 def _(t):
     seen = t.frames.select("camera_id", "frame_index", "ts").distinct()
-    stride = frames.every_nth(seen, 3).groupBy("camera_id").agg(F.count("*").alias("n_stride"))
-    slots = frames.thinned(seen, 0.1).groupBy("camera_id").agg(F.count("*").alias("n_slots"))
-    return slots.join(stride, "camera_id", "left")
+    # Driver frames are minutes apart, so a block spans days instead of minutes.
+    return frames.thinned(seen, 0.001, block_seconds=200_000).select("camera_id", "ts")
 
 
 @query("src6_zone_definitions", sql="""

@@ -13,13 +13,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, *uses: str, sql: str | None = None):
+def query(name: str, *uses: str, sql: str | None = None, recursive: bool = False):
     """Register a plan; ``sql`` may refer to the adapters named in ``uses``."""
 
     def wrap(plan: Callable[[A.Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: plan(A.Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = (A.ctes(*uses) if uses else "") + sql
+            head = A.ctes(*uses) if uses else ""
+            ORACLES[name] = (head.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else head) + sql
         return plan
 
     return wrap

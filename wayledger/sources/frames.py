@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,55 @@ def every_nth(frames: DataFrame, stride: int) -> DataFrame:
     return frames.filter(F.col("frame_index") % max(1, stride) == 0)
 
 
-def thinned(frames: DataFrame, target_fps: float) -> DataFrame:
-    """At most one frame per ``1 / target_fps`` slot and camera: the earliest in the slot."""
-    slot = F.floor(F.unix_micros("ts") / F.lit(1_000_000.0 / max(target_fps, 0.1)))
-    rest = [c for c in frames.columns if c not in ("camera_id", "ts")]
-    return (
-        frames.groupBy("camera_id", slot.alias("_slot"))
-        .agg(F.min(F.struct("ts", *rest)).alias("f")).select("camera_id", "f.*")
+def _next_kept(t: np.ndarray, interval: float) -> np.ndarray:
+    """For each instant, the position of the first one at least ``interval`` later."""
+    return np.searchsorted(t, t + interval, side="left")
+
+
+def thinned(frames: DataFrame, target_fps: float, block_seconds: int = 600) -> DataFrame:
+    """Frames at least ``1 / target_fps`` after the last kept frame of their camera.
+
+    Which frames stay depends on the first one kept. Each time block first works out, for the
+    few frames it could be entered at, the last frame it would keep; these summaries are
+    chained per camera; then every block keeps its frames from its known entry. No task holds
+    more than a block of frames or a camera's block summaries.
+    """
+    interval = 1_000_000.0 / target_fps
+    size = block_seconds * 1_000_000
+    rows = frames.withColumn("_t", F.unix_micros("ts")).withColumn("_slot", F.floor(F.col("_t") / size).cast("bigint"))
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.unique(pdf["_t"].to_numpy())
+        after, leave = _next_kept(t, interval), t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if after[i] < len(t):
+                leave[i] = leave[after[i]]
+        start = float(pdf["_slot"].iloc[0]) * size
+        n = min(len(t), int(np.searchsorted(t, start + interval, side="left")) + 1)
+        return pd.DataFrame({"camera_id": pdf["camera_id"].iloc[0], "_slot": pdf["_slot"].iloc[0], "entry": t[:n], "leave": leave[:n]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, out = -np.inf, []
+        for slot, block in pdf.sort_values(["_slot", "entry"]).groupby("_slot", sort=True):
+            open_ = block[block["entry"] >= last + interval]
+            if len(open_):
+                out.append((block["camera_id"].iloc[0], slot, open_["entry"].iloc[0]))
+                last = float(open_["leave"].iloc[0])
+        return pd.DataFrame(out, columns=["camera_id", "_slot", "_entry"])
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_t", "frame_index"]).drop_duplicates("_t")
+        t = pdf["_t"].to_numpy()
+        after, i, kept = _next_kept(t, interval), int(np.searchsorted(t, pdf["_entry"].iloc[0])), []
+        while i < len(t):
+            kept.append(i)
+            i = int(after[i])
+        return pdf.iloc[kept][["camera_id", "_t", "frame_index"]]
+
+    instants = rows.select("camera_id", "_slot", "_t", F.col("frame_index").cast("bigint").alias("frame_index"))
+    summary = instants.groupBy("camera_id", "_slot").applyInPandas(entries, "camera_id string, _slot bigint, entry bigint, leave bigint")
+    known = summary.groupBy("camera_id").applyInPandas(chain, "camera_id string, _slot bigint, _entry bigint")
+    kept = instants.join(known, ["camera_id", "_slot"]).groupBy("camera_id", "_slot").applyInPandas(
+        keep, "camera_id string, _t bigint, frame_index bigint"
     )
+    return rows.join(kept, ["camera_id", "_t", "frame_index"], "left_semi").select(*frames.columns)

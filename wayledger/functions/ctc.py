@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from .literals import constant_array, constant_map
 
 
 def greedy_indices(log_probs: Column) -> Column:
@@ -29,15 +30,13 @@ def collapse(indices: Column) -> Column:
 
 def tokens(indices: Column, vocabulary: list[str] | None = None) -> Column:
     """Vocabulary tokens of class indices."""
-    vocab = F.array(*[F.lit(t) for t in (vocabulary or R.vocabulary())])
+    vocab = constant_array(vocabulary or R.vocabulary())
     return F.transform(indices, lambda i: F.element_at(vocab, (i + 1).cast("int")))
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over whole tokens: each token becomes one private character."""
-    vocab = R.vocabulary()
-    flat = [x for i, t in enumerate(vocab) for x in (F.lit(t), F.lit(chr(0xE000 + i)))]
-    table = F.create_map(*flat)
+    table = constant_map({t: chr(0xE000 + i) for i, t in enumerate(R.vocabulary())})
 
     def encoded(c: Column) -> Column:
         return F.array_join(F.transform(c, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(chr(0xF8FF)))), "")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from .literals import constant_map
 from .once import once
 
 ASCII_DIGITS = "0123456789"
@@ -46,8 +47,7 @@ _PREFIX = r"(?iU)^\s*(?:NP-L:)?(?:NP-E:)?"
 
 def lookup(mapping: dict, key: Column) -> Column:
     """Constant map lookup; a missing key gives null."""
-    flat = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
+    return F.try_element_at(constant_map(mapping), key)
 
 
 def deva_to_ascii(c: Column) -> Column:
@@ -291,7 +291,6 @@ def near_miss_pairs(plates: DataFrame, plate: str = "plate_canonical") -> DataFr
     partners: dict[str, list[str]] = {}
     for a, b in R.confusable_pairs():
         partners.setdefault(a, []).append(b)
-    flat = [x for a, bs in partners.items() for x in (F.lit(a), F.array(*[F.lit(b) for b in bs]))]
     distinct = plates.select(F.col(plate).alias("plate")).distinct()
     glyphs = distinct.select(
         "plate", F.posexplode(F.split(F.substring("plate", 6, 64), "")).alias("pos", "glyph")
@@ -301,7 +300,7 @@ def near_miss_pairs(plates: DataFrame, plate: str = "plate_canonical") -> DataFr
     )
     wanted = masked.select(
         "mask", F.col("plate").alias("plate_a"), F.col("glyph").alias("glyph_a"),
-        F.explode(F.try_element_at(F.create_map(*flat), F.col("glyph"))).alias("glyph"),
+        F.explode(lookup(partners, F.col("glyph"))).alias("glyph"),
     )
     have = masked.select("mask", "glyph", F.col("plate").alias("plate_b"))
     return wanted.join(have, ["mask", "glyph"]).filter("plate_a < plate_b").select(

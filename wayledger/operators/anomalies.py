@@ -34,8 +34,7 @@ def colour_mismatches(reads: DataFrame) -> DataFrame:
 
 def vehicle_mismatches(reads: DataFrame) -> DataFrame:
     """Observed vehicle type cannot carry a plate of this size band."""
-    flat = [x for size, types in R.SIZE_VEHICLES.items() for x in (F.lit(size), F.array(*[F.lit(t) for t in types]))]
-    allowed = F.try_element_at(F.create_map(*flat), F.col("size_class"))
+    allowed = lookup(R.SIZE_VEHICLES, F.col("size_class"))
     seen = F.col("observed_vehicle_type")
     rows = reads.withColumn("_allowed", allowed).filter(
         F.col("_allowed").isNotNull() & (F.coalesce(seen, F.lit("")) != "")

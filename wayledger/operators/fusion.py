@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions import plates as P
+from ..functions.literals import constant_array
 from ..functions.once import once
 from ..session import materialise
 
@@ -178,7 +179,7 @@ def fuse(
     flat = tracks.select(
         "track_id", "n_frames", "legacy_votes", "embossed_votes", F.col("best.canonical").alias("best_canonical"),
         F.col("best.system").alias("best_system"), F.col("best.first_score").alias("best_score"),
-        F.element_at(F.array(*[F.lit(b) for b in R.BANDS]), F.col("best.first_band") + 1).alias("best_confidence"),
+        F.element_at(constant_array(R.BANDS), F.col("best.first_band") + 1).alias("best_confidence"),
     )
     parts = flat.join(slots, "track_id", "left")
     if colours is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import refdata as R
+from ..functions.plates import lookup
 
 LOG_SCHEMA = (
     "query_id string, at timestamp, actor string, role string, action string, target string,"
@@ -71,8 +72,8 @@ def unfinished(log: DataFrame) -> DataFrame:
 
 def compliance(log: DataFrame) -> DataFrame:
     """Log rows judged against the policy: ``denied`` and ``missing_reason`` flags."""
-    flat = [x for a, roles in R.PERMISSIONS.items() for x in (F.lit(a), F.array(*[F.lit(r) for r in roles]))]
-    allowed = F.coalesce(F.array_contains(F.try_element_at(F.create_map(*flat), F.col("action")), F.col("role")), F.lit(False))
+    roles = lookup(R.PERMISSIONS, F.col("action"))
+    allowed = F.coalesce(F.array_contains(roles, F.col("role")), F.lit(False))
     needs = F.col("action").isin(R.REASON_REQUIRED)
     short = F.length(F.regexp_replace(F.coalesce("reason", F.lit("")), r"(?U)^\s+|\s+$", "")) < R.MIN_REASON_LENGTH
     return log.withColumn("denied", ~allowed).withColumn("missing_reason", allowed & needs & short)

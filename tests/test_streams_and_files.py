@@ -96,6 +96,19 @@ def test_reads_are_laid_out_by_day(spark, tmp_path):
     assert back.filter("capture_date = '2024-01-02'").count() == 1 and back.count() == 9
 
 
+def test_deleting_rewrites_only_touched_days(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1 + i // 4, i % 4), "C", f"h{i}") for i in range(12)]
+    path = str(tmp_path / "reads")
+    tables.write_reads(spark.createDataFrame(rows, "id bigint, captured_at timestamp, camera_id string, plate_hmac string"), path)
+    untouched = {p.name for p in (tmp_path / "reads" / "capture_date=2024-01-03").iterdir()}
+    # All of the first day and half of the second.
+    assert tables.delete_rows(spark, path, F.col("id") < 6) == 2
+    assert sorted(r.id for r in tables.read_reads(spark, path).collect()) == list(range(6, 12))
+    assert not (tmp_path / "reads" / "capture_date=2024-01-01").exists()
+    assert {p.name for p in (tmp_path / "reads" / "capture_date=2024-01-03").iterdir()} == untouched
+    assert tables.delete_rows(spark, path, F.col("id") < 6) == 0
+
+
 def test_stills_are_numbered_per_folder(spark):
     files = spark.createDataFrame([("/b/2.JPG",), ("/b/1.png",), ("/a/9.bmp",), ("/a/x.txt",)], "path string")
     got = sorted((r.path, r.frame_index) for r in frames.number_stills(files, "2024-01-01 00:00:00", fps=2.0).collect())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 # Explicit schemas: no inference pass, and timestamps without zone are read as UTC instants,
 # so time filters reach the Parquet scan.
 SCHEMAS = {
@@ -52,3 +54,27 @@ def write_reads(reads: DataFrame, path: str, files_per_day: int = 8, mode: str =
 def read_reads(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
+
+
+def delete_rows(spark: SparkSession, path: str, gone: Column) -> int:
+    """Remove rows of a day-partitioned reads table; returns the number of days rewritten.
+
+    Only days that lose rows are read in full and written again; days that lose every row are
+    dropped. Kept rows are written aside first, so a failure leaves the table readable and the
+    call can be repeated.
+    """
+    hit = F.coalesce(gone, F.lit(False))
+    table = read_reads(spark, path)
+    days = [r[0] for r in table.filter(hit).select("capture_date").distinct().collect()]  # days only
+    if not days:
+        return 0
+    kept = materialise(table.filter(F.col("capture_date").isin(days) & ~hit))
+    left = {r[0] for r in kept.select("capture_date").distinct().collect()}
+    if left:
+        write_reads(kept.drop("capture_date"), path)
+    jvm = spark.sparkContext._jvm
+    for day in days:
+        if day not in left:
+            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/capture_date={day}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(days)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chain, ingest
+from ..operators.ordered import block_of
 from ..operators.screening import screen
 from ..sources import events as ev
 
@@ -33,13 +34,24 @@ def apply_batch(
     on_new: Callable[[DataFrame], None] | None = None,
 ) -> None:
     """Append the batch's new events. Re-running a batch after a failure replaces its own
-    partition, so nothing is stored twice."""
-    good, _ = ev.split_wellformed(ev.unpack(batch))
-    stored = stored_events(spark, events_path)
-    if stored is not None:
-        stored = stored.filter(F.col("micro_batch") != batch_id).select("node_id", "sequence")
-    fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node").withColumn("micro_batch", F.lit(batch_id))
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("micro_batch").parquet(events_path)
+    partitions, so nothing is stored twice.
+
+    The log is partitioned by blocks of sequence numbers. A copy of an event has its sequence,
+    so only the blocks the batch touches are read to find what is stored already.
+    """
+    batch.persist()
+    try:
+        good, _ = ev.split_wellformed(ev.unpack(batch))
+        good = good.withColumn("sequence_block", block_of(F.col("sequence")))
+        stored = stored_events(spark, events_path)
+        if stored is not None:
+            touched = [r[0] for r in good.select("sequence_block").distinct().collect()]  # block numbers only
+            stored = stored.filter(F.col("sequence_block").isin(touched) & (F.col("micro_batch") != batch_id))
+        fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node").withColumn("micro_batch", F.lit(batch_id))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "sequence_block", "micro_batch").parquet(events_path)
+    finally:
+        batch.unpersist()
     if on_new is not None:
         on_new(spark.read.parquet(events_path).filter(F.col("micro_batch") == batch_id))
 

@@ -38,11 +38,6 @@ def every_nth(frames: DataFrame, stride: int) -> DataFrame:
     return frames.filter(F.col("frame_index") % max(1, stride) == 0)
 
 
-def _next_kept(t: np.ndarray, interval: float) -> np.ndarray:
-    """For each instant, the position of the first one at least ``interval`` later."""
-    return np.searchsorted(t, t + interval, side="left")
-
-
 def thinned(frames: DataFrame, target_fps: float, block_seconds: int = 600) -> DataFrame:
     """Frames at least ``1 / target_fps`` after the last kept frame of their camera.
 
@@ -55,9 +50,13 @@ def thinned(frames: DataFrame, target_fps: float, block_seconds: int = 600) -> D
     size = block_seconds * 1_000_000
     rows = frames.withColumn("_t", F.unix_micros("ts")).withColumn("_slot", F.floor(F.col("_t") / size).cast("bigint"))
 
+    def next_kept(t: np.ndarray) -> np.ndarray:
+        # For each instant, the position of the first one at least an interval later.
+        return np.searchsorted(t, t + interval, side="left")
+
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.unique(pdf["_t"].to_numpy())
-        after, leave = _next_kept(t, interval), t.copy()
+        after, leave = next_kept(t), t.copy()
         for i in range(len(t) - 1, -1, -1):
             if after[i] < len(t):
                 leave[i] = leave[after[i]]
@@ -77,7 +76,7 @@ def thinned(frames: DataFrame, target_fps: float, block_seconds: int = 600) -> D
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_t", "frame_index"]).drop_duplicates("_t")
         t = pdf["_t"].to_numpy()
-        after, i, kept = _next_kept(t, interval), int(np.searchsorted(t, pdf["_entry"].iloc[0])), []
+        after, i, kept = next_kept(t), int(np.searchsorted(t, pdf["_entry"].iloc[0])), []
         while i < len(t):
             kept.append(i)
             i = int(after[i])

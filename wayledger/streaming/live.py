@@ -108,48 +108,48 @@ _STATE = "inside boolean, inside_run int, outside_run int, last_frame bigint"
 _EVENTS = "camera_id string, track_id bigint, zone_id string, kind string, at_frame bigint, at timestamp"
 
 
-def _debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Entry, exit and loss of one (camera, track, zone); state is four numbers."""
-    inside, inside_run, outside_run, last = state.get if state.exists else (False, 0, 0, None)
-    out: list[tuple] = []
-    if state.hasTimedOut:
-        if inside:
-            out.append((*key, "lost", last + 1, pd.NaT))
-        state.remove()
-    else:
-        rows = pd.concat(list(batches)).sort_values("frame_index")
-        for r in rows.itertuples(index=False):
-            if last is not None and r.frame_index > last + 1:
-                if inside:
-                    out.append((*key, "lost", last + 1, pd.NaT))
-                inside, inside_run, outside_run = False, 0, 0
-            inside_run, outside_run = (inside_run + 1, 0) if r.inside else (0, outside_run + 1)
-            if not inside and inside_run >= r.enter_frames:
-                inside = True
-                out.append((*key, "entry", r.frame_index, r.ts))
-            elif inside and outside_run >= r.exit_frames:
-                inside = False
-                out.append((*key, "exit", r.frame_index, r.ts))
-            last = r.frame_index
-        state.update((bool(inside), int(inside_run), int(outside_run), int(last)))
-        wake = int(rows["ts"].max().timestamp() * 1000) + 60_000
-        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-    columns = [c.split()[0] for c in _EVENTS.split(", ")]
-    if out:
-        frame = pd.DataFrame(out, columns=columns)
-        frame["at"] = pd.to_datetime(frame["at"])
-        yield frame
-
-
 def zone_transitions(members: DataFrame, late: str = "10 seconds") -> DataFrame:
     """Streaming zone transitions: same rows as the batch operator.
 
     The state machine depends on every frame in order, which built-in stateful operators do
     not express; Arrow batches feed a small per-key function.
     """
+    columns = [c.split()[0] for c in _EVENTS.split(", ")]
+
+    def debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Entry, exit and loss of one (camera, track, zone); state is four numbers."""
+        inside, inside_run, outside_run, last = state.get if state.exists else (False, 0, 0, None)
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            if inside:
+                out.append((*key, "lost", last + 1, pd.NaT))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("frame_index")
+            for r in rows.itertuples(index=False):
+                if last is not None and r.frame_index > last + 1:
+                    if inside:
+                        out.append((*key, "lost", last + 1, pd.NaT))
+                    inside, inside_run, outside_run = False, 0, 0
+                inside_run, outside_run = (inside_run + 1, 0) if r.inside else (0, outside_run + 1)
+                if not inside and inside_run >= r.enter_frames:
+                    inside = True
+                    out.append((*key, "entry", r.frame_index, r.ts))
+                elif inside and outside_run >= r.exit_frames:
+                    inside = False
+                    out.append((*key, "exit", r.frame_index, r.ts))
+                last = r.frame_index
+            state.update((bool(inside), int(inside_run), int(outside_run), int(last)))
+            wake = int(rows["ts"].max().timestamp() * 1000) + 60_000
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        if out:
+            frame = pd.DataFrame(out, columns=columns)
+            frame["at"] = pd.to_datetime(frame["at"])
+            yield frame
+
     return (
         members.withWatermark("ts", late).groupBy("camera_id", "track_id", "zone_id")
-        .applyInPandasWithState(_debounce, _EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(debounce, _EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

@@ -44,7 +44,7 @@ def test_failed_search_is_still_logged(spark, hasher, tmp_path):
         desk(spark, hasher, tmp_path).find_plate(WHO, "HELLO", "stolen car inquiry")
     with pytest.raises(ValueError):
         desk(spark, hasher, tmp_path).find_partial(WHO, "12", "stolen car inquiry")
-    assert {(e.result, e.n_records) for e in log(spark, tmp_path)} == {("invalid", 0)}
+    assert {(e.result, e.n_records) for e in log(spark, tmp_path)} == {("invalid_plate", 0), ("fragment_too_short", 0)}
 
 
 def test_permission_before_purpose(spark, hasher, tmp_path):
@@ -64,6 +64,20 @@ def test_auditor_reads_the_log(spark, hasher, tmp_path):
     assert [(r.action, r.target) for r in trail] == [("read.live", "camera=all")]
 
 
+def test_holds_erasures_and_entries_are_governed(spark, hasher, tmp_path):
+    d, admin = desk(spark, hasher, tmp_path), gov.Principal("root", "admin")
+    hold = d.hold_for_case(admin, "BA 1 CHA 1234", "court order 12", NOW, days=5).first()
+    erasure = d.request_erasure(WHO, "बा १ च १२३४", "subject request 7", NOW).first()
+    assert hold.plate_hmac == erasure.plate_hmac and hold.hold_until == NOW + timedelta(days=5)
+    assert (erasure.status, erasure.requested_by) == ("pending", "ram")
+    requests = spark.createDataFrame([(1, "3 B PA 1234", "stolen", "theft")], "id bigint, plate string, reason string, category string")
+    accepted, rejected, past = d.add_to_watchlist(WHO, requests, "stolen car inquiry", NOW)
+    assert accepted.count() == 1 and rejected.count() == 0 and sorted(r.read_id for r in past.collect()) == [2, 4]
+    with pytest.raises(gov.PermissionDenied):
+        d.hold_for_case(WHO, "BA 1 CHA 1234", "court order 12", NOW)
+    assert {(e.action, e.n_records) for e in log(spark, tmp_path)} == {("admin.retention", 2), ("erasure.request", None), ("watchlist.write", 1)}
+
+
 def test_partial_search_is_literal(spark, hasher):
     reads = table(spark, hasher)
     assert Q.partial(reads, "___").count() == 0 and Q.partial(reads, "b-pa").count() == 2

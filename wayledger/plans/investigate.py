@@ -18,6 +18,14 @@ from ..functions.pseudonym import PlateHasher
 from ..operators import governance as gov
 from ..operators.screening import at
 
+class InvalidSearch(ValueError):
+    """A search that cannot run; ``code`` goes to the access log."""
+
+    def __init__(self, code: str, message: str) -> None:
+        super().__init__(message)
+        self.code = code
+
+
 SUMMARY = [
     "id", "captured_at", "camera_id", "site_id", "plate_canonical", "confidence", "score", "verified",
 ]
@@ -41,7 +49,7 @@ def partial(reads: DataFrame, fragment: str, since=None, limit: int = 200) -> Da
     """Reads whose plate contains the fragment literally; at least three characters."""
     cleaned = fragment.strip().upper()
     if len(cleaned) < 3:
-        raise ValueError("a partial plate search needs at least 3 characters")
+        raise InvalidSearch("fragment_too_short", "a partial plate search needs at least 3 characters")
     rows = reads.filter(F.contains("plate_canonical", F.lit(cleaned)))
     if since is not None:
         rows = rows.filter(F.col("captured_at") >= at(since))
@@ -225,8 +233,8 @@ class Investigator:
         self._log(query_id, who, action, target, stated)
         try:
             rows = plan()
-        except ValueError:
-            self._log(query_id, who, action, target, stated, "invalid", 0)
+        except InvalidSearch as exc:
+            self._log(query_id, who, action, target, stated, exc.code, 0)
             raise
         # Results are pages of at most MAX_LIMIT rows, so they are kept for the count and the caller.
         kept = rows.cache()
@@ -237,7 +245,7 @@ class Investigator:
         one = with_canonical(self.spark.createDataFrame([(plate,)], "p string"), "p")
         key = one.select(self.hasher.hash(F.col("canonical"))).first()[0]
         if key is None:
-            raise ValueError(f"{plate!r} is not a valid Nepali plate")
+            raise InvalidSearch("invalid_plate", f"{plate!r} is not a valid Nepali plate")
         return key
 
     def find_plate(self, who, plate: str, reason: str, **window) -> DataFrame:
@@ -277,6 +285,34 @@ class Investigator:
 
         return self._run(who, "watchlist.read", None, "watchlist", lambda: active_entries(self.tables["watchlist"]))
 
+    def hold_for_case(self, who, plate: str, reason: str, as_of, days: int = 365) -> DataFrame:
+        """Legal hold on a plate: the hold row to store; logged with the reads it covers."""
+        from ..operators.retention import hold_for_case
+
+        stated = gov.authorise(who, "admin.retention", reason)
+        key = self._key(plate)
+        covered = self.tables["reads"].filter(F.col("plate_hmac") == key).count()
+        self._log(uuid.uuid4().hex, who, "admin.retention", f"extend:{plate.strip()}", stated, "ok", covered)
+        return hold_for_case(self.spark.createDataFrame([(key,)], "plate_hmac string"), as_of, days)
+
+    def request_erasure(self, who, plate: str, reason: str, as_of, authority_ref: str = "") -> DataFrame:
+        """Erasure request row to store: the pseudonym only, never the plate."""
+        stated = gov.authorise(who, "erasure.request", reason)
+        key = self._key(plate)
+        self._log(uuid.uuid4().hex, who, "erasure.request", "erasure", stated, "ok")
+        row = self.spark.createDataFrame([(key, who.username, authority_ref)], "plate_hmac string, requested_by string, authority_ref string")
+        return row.select("*", at(as_of).alias("requested_at"), F.lit("pending").alias("status"))
+
+    def add_to_watchlist(self, who, requests: DataFrame, reason: str, as_of, backfill_days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``(accepted, rejected, historical hits)`` for new entries; ``requests`` has ``id, plate, reason, category``."""
+        from ..operators import screening
+
+        stated = gov.authorise(who, "watchlist.write", reason)
+        accepted, rejected = screening.add_entries(requests, self.hasher)
+        past = screening.backfill(self.tables["reads"], accepted, as_of, backfill_days)
+        self._log(uuid.uuid4().hex, who, "watchlist.write", "watchlist", stated, "ok", accepted.count())
+        return accepted, rejected, past
+
     def audit_trail(self, who, **options) -> DataFrame:
         gov.authorise(who, "audit.read", None)
         log = self.spark.read.schema(gov.LOG_SCHEMA).parquet(self.audit_path)

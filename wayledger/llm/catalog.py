@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, simhash, urls
-from .common import table
+from . import decontaminate, language, mixing, simhash, toxicity, urls
+from .common import crc32_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,14 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = crc32_rest(F.col("doc_id"), 3)
+    model = language.learn(docs.where(rest != 1))
+    return language.classify(docs, model, doc_id=F.col("doc_id"), held_out=rest == 1)
+
+
 @query("op2_url_filters")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages carry the id of the document made of them; a page is bad if that is of low quality or toxic."""
@@ -69,6 +77,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.learn(docs, labels.where(crc32_rest(F.col("doc_id"), 5) != 0))
+    scored = toxicity.score(docs, net, doc_id=F.col("doc_id"), lang=F.col("lang"), held_out=crc32_rest(F.col("doc_id"), 5) == 0)
+    return toxicity.flagged(scored, net).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 @query("op10_mixing", sql=f"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS s_none, coalesce(source, '') AS s_name,

@@ -15,10 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise
+from .common import wrapped
 from .components import components
 
 SEED = 42
@@ -48,16 +50,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed number, 0 for texts without words."""
+def fingerprints(docs: DataFrame, shingle: int = 3, **keys: Column) -> DataFrame:
+    """The key columns and ``fp`` for every row: its fingerprint as a signed number, 0 for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(0)]
+            yield pa.record_batch([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in keys.items()])
+    return slim.mapInArrow(run, StructType([*slim.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def embed(bits: Column, segment_bits: int = 2) -> Column:
@@ -92,32 +94,46 @@ def links(fps: DataFrame, segment_bits: int = 2) -> DataFrame:
     return found.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, segment_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id reachable over links, itself included.
+def _roots(marks: DataFrame, segment_bits: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint.
 
     Equal fingerprints form one class before anything is joined, so a flood of copies leaves each
     task as one row. Links and labels run between classes; nothing per document reaches the driver.
+    """
+    classes = materialise(marks.select("fp").distinct())
+    roots = components(links(classes, segment_bits), "a", "b")
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, segment_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the smallest id reachable over links.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows without an id take part
     but are never named: their component has the smallest id there is, or null. Repeated rows come
     out as often as they go in. An empty table gives no rows.
     """
-    marks = materialise(fingerprints(docs, shingle))
-    classes = materialise(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), segment_bits), "a", "b")
-    labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "root").select("fp", "component_id")
+    marks = materialise(fingerprints(docs, shingle, doc_id=F.col("doc_id").cast("long")))
+    rooted = _roots(marks, segment_bits)
+    by_fp = marks.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = by_fp.join(least, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, with all its columns: that with the smallest id, of equal ids the smallest text.
+def representatives(docs: DataFrame, shingle: int = 3, segment_bits: int = 2) -> DataFrame:
+    """One row of each component with all its columns: that with the smallest id, then the smallest digest of its text.
 
-    A component whose rows all lack an id keeps one row as well. Only one text per map task and
-    component is moved.
+    Rows without an id come last; a component of such rows keeps one of them. Of rows that repeat id
+    and text one stays.
     """
-    found = near_duplicates(docs, **options).select("doc_id", "component_id").distinct()
-    rows = wrapped(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
-    return rows, found
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    marks = materialise(fingerprints(docs, shingle, doc_id=F.col("doc_id").cast("long"), digest=digest))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest"))
+    by_fp = marks.groupBy("fp").agg(first.alias("first")).join(_roots(marks, segment_bits), "fp")
+    kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    rows = wrapped(docs, none=F.col("doc_id").isNull(), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), digest=digest,
+                   # Of repeats that differ in other columns the first in this order stays.
+                   rest=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    same = Window.partitionBy("none", "id", "digest").orderBy("rest")
+    return (rows.join(kept, ["none", "id", "digest"], "left_semi")
+            .withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import decontaminate, language, minhash, mixing, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, language, minhash, mixing, simhash, tokens, toxicity, urls
 from .common import crc32_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), labelled, URL_RULES)
 
 
+@query("op3_chat_formatting", sql="""
+WITH t AS (
+  SELECT DISTINCT conv_id IS NULL AS none, coalesce(conv_id, 0) AS id, coalesce(turn, -9223372036854775808) AS turn,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (
+  SELECT a.none, a.id, a.turn, string_agg(b.turn || chr(1) || b.role || chr(2) || b.text || chr(3), '' ORDER BY b.turn, b.role, b.text) AS so_far
+  FROM (SELECT DISTINCT none, id, turn FROM t) a JOIN t b ON a.none = b.none AND a.id = b.id AND b.turn <= a.turn GROUP BY ALL),
+w AS (
+  SELECT none, id, count(*) AS n_turns, max(turn) AS last,
+    string_agg('<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS shown
+  FROM t GROUP BY ALL),
+c AS (SELECT w.*, so_far FROM w JOIN p ON w.none = p.none AND w.id = p.id AND w.last = p.turn),
+g AS (SELECT *, count(*) OVER (PARTITION BY so_far) AS n_copies, row_number() OVER (PARTITION BY so_far ORDER BY none, id) AS place FROM c)
+SELECT CASE WHEN NOT none THEN id END AS conv_id, n_turns, n_copies, shown AS text FROM g
+WHERE place = 1 AND so_far NOT IN (SELECT p.so_far FROM p JOIN w ON w.none = p.none AND w.id = p.id WHERE p.turn < w.last)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 _WORDS5 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pseudonym import PlateHasher
 from ..session import shared_dir
-from . import chat, decontaminate, language, minhash, mixing, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, language, minhash, mixing, pii, simhash, tokens, toxicity, urls
 from .common import crc32_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Key of the surrogates in test tables; a real one comes from a secrets manager.
+TEST_KEY = "key of the surrogates in test tables"
 #: Explicit rules of the url query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -65,6 +68,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replaced(table(spark, sf_dir, "documents"), PlateHasher(TEST_KEY))
+    return out.select("row.doc_id", "text", "n_entities")
+
+
 _WORDS5 = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 

@@ -111,7 +111,7 @@ def classify(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN, **ke
             yield pa.record_batch([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                                    pa.array(margin, pa.float64()), pa.array(accepted, pa.bool_())], names)
 
-    slim = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in keep.items()])
+    slim = docs.select(F.col("text").cast("string").alias("__text"), *[c.alias(k) for k, c in keep.items()])
     added = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("margin", DoubleType()),
              StructField("accepted", BooleanType())]
     return slim.mapInArrow(run, StructType([*slim.schema.fields[1:], *added]))

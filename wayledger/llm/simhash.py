@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, **keys: Column) -> DataFrame
             fps = [fingerprint(t.as_py(), shingle) for t in batch.column(0)]
             yield pa.record_batch([*batch.columns[1:], pa.array(fps, pa.int64())], [*batch.schema.names[1:], "fp"])
 
-    slim = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in keys.items()])
+    slim = docs.select(F.col("text").cast("string").alias("__text"), *[c.alias(k) for k, c in keys.items()])
     return slim.mapInArrow(run, StructType([*slim.schema.fields[1:], StructField("fp", LongType())]))
 
 

@@ -120,7 +120,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] =
     Repeated rows come out as often as they go in; an empty table gives no rows.
     """
     urls = parts(pages)
-    known = urls.where("url is not null").join(labelled, "page_id").select("url", "host", "path", "bad")
+    known = urls.where("url is not null").join(labelled.select("page_id", "bad").where("bad is not null"), "page_id").select("url", "host", "path", "bad")
     best = match(urls.where("url is not null"), mine(known, **options))
     rule, kind = explicit(F.col("host"), F.col("path"), rules)
     mined = F.when(F.col("mined.verdict") == BLOCK, "block").otherwise("allow")

@@ -35,10 +35,53 @@ def test_stream_stores_each_event_once(spark, tmp_path):
     assert seen == [4, 2] and stored.filter("not verified").count() == 0
     # The same micro-batch applied again, as after a failure, changes nothing.
     batch = ev.read_envelopes(spark, str(inbox / "b.json"))
-    live.apply_batch(spark, batch, 1, f"{out}/events")
+    live.apply_batch(spark, batch, f"{live.run_of(spark, f'{out}/ck')}-1", f"{out}/events")
     assert sorted(r.sequence for r in spark.read.parquet(f"{out}/events").collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_new_checkpoint_loses_and_repeats_nothing(spark, tmp_path):
+    inbox, out = tmp_path / "in", tmp_path / "out"
+    inbox.mkdir()
+    rows = chain([read()] * 7)
+    rows[6][5] = None  # refused
+    nodes = spark.createDataFrame([("N1", True)], "node_id string, active boolean")
+    deliver(inbox, "a", rows[:4], 0)
+    for name in ("one", "two", "three"):
+        live.start_ingest(spark, str(inbox), f"{out}/events", f"{out}/{name}", rejects_path=f"{out}/no", nodes=nodes).awaitTermination()
+        assert sorted(r.sequence for r in spark.read.parquet(f"{out}/events").collect()) == list(range(1, 5 if name == "one" else 7))
+        if name == "one":
+            deliver(inbox, "b", rows[2:], 0)
+            (inbox / "z.json").write_text("{nope\n")
+    assert live.compact(spark, f"{out}/events") == 2 and live.compact(spark, f"{out}/events") == 0
+    assert sorted(r.sequence for r in spark.read.parquet(f"{out}/events").collect()) == [1, 2, 3, 4, 5, 6]
+    errors = {r.error for r in spark.read.parquet(f"{out}/no").collect()}
+    assert errors == {"malformed event: missing signature", "not json"}
+
+
+def test_interrupted_merge_is_ended(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    for k in range(3):
+        spark.createDataFrame([("n", k)], "node_id string, sequence long").write.parquet(f"{log}/{live.BATCH}=r-{k}")
+    live.compact(spark, log)
+    # As left by a driver that ended before the old folders were gone.
+    merged = next(p for p in (tmp_path / "log").iterdir() if "merged" in p.name)
+    hidden = tmp_path / "log" / "_merging-x"
+    hidden.mkdir()
+    spark.createDataFrame([(merged.name,)], "value string").coalesce(1).write.text(f"{hidden}/old")
+    spark.read.parquet(str(merged)).write.parquet(f"{hidden}/rows")
+    live.compact(spark, log)
+    assert sorted(r.sequence for r in spark.read.parquet(log).collect()) == [0, 1, 2]
+    assert not hidden.exists() and not merged.exists()
+
+
+def test_nodes_that_are_not_admitted_are_refused(spark, tmp_path):
+    deliver(tmp_path, "a", chain([read()] * 2), 0)
+    nodes = spark.createDataFrame([("N1", False)], "node_id string, active boolean")
+    live.apply_batch(spark, ev.read_envelopes(spark, str(tmp_path)), "r-0", f"{tmp_path}/events", f"{tmp_path}/no", nodes)
+    assert spark.read.parquet(f"{tmp_path}/events").count() == 0
+    assert [r.error for r in spark.read.parquet(f"{tmp_path}/no").collect()] == ["node is deactivated"] * 2
+
+
 def test_malformed_events_are_set_apart(spark, tmp_path):
     rows = chain([read()] * 4)
     rows[1][5], rows[2][1], rows[3][0] = None, "x", "N2"

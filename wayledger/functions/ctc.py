@@ -35,11 +35,18 @@ def tokens(indices: Column, vocabulary: list[str] | None = None) -> Column:
 
 
 def token_edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over whole tokens: each token becomes one private character."""
+    """Levenshtein distance over whole tokens: each token becomes one character.
+
+    Tokens outside the vocabulary are numbered within the pair, so different ones stay different.
+    """
     table = constant_map({t: chr(0xE000 + i) for i, t in enumerate(R.vocabulary())})
+    both = F.array_distinct(F.concat(a, b))
+
+    def other(t: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(F.lit(0x4E00) + F.array_position(both, t)), 4, "0")), "UTF-16BE")
 
     def encoded(c: Column) -> Column:
-        return F.array_join(F.transform(c, lambda t: F.coalesce(F.try_element_at(table, t), F.lit(chr(0xF8FF)))), "")
+        return F.array_join(F.transform(c, lambda t: F.coalesce(F.try_element_at(table, t), other(t))), "")
 
     return F.levenshtein(encoded(a), encoded(b))
 

@@ -293,7 +293,7 @@ def near_miss_pairs(plates: DataFrame, plate: str = "plate_canonical") -> DataFr
         partners.setdefault(a, []).append(b)
     distinct = plates.select(F.col(plate).alias("plate")).distinct()
     glyphs = distinct.select(
-        "plate", F.posexplode(F.split(F.substring("plate", 6, 64), "")).alias("pos", "glyph")
+        "plate", F.posexplode(F.split(F.expr("substring(plate, 6)"), "")).alias("pos", "glyph")
     ).filter(F.col("glyph").rlike("[0-9A-Z०-९]"))
     masked = glyphs.withColumn(
         "mask", F.concat(F.expr("substring(plate, 1, pos + 5)"), F.lit("*"), F.expr("substring(plate, pos + 7)"))

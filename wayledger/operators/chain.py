@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,13 @@ from .ordered import with_previous, with_running
 def json_text(c: Column) -> Column:
     """JSON string literal of a text column, non-ASCII left as is."""
     escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit(short))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+    plain = escaped
+    for code in range(0x20):
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(short.get(chr(code), f"\\u{code:04x}")))
+    # Control characters are rare: texts without any are not searched for each.
+    shown = F.when(c.rlike(r"[\x00-\x1F]"), escaped).otherwise(plain)
+    return F.concat(F.lit('"'), shown, F.lit('"'))
 
 
 def payload_digest(payload: Column) -> Column:
@@ -77,11 +83,15 @@ def verify_chains(events: DataFrame, start: str | None = R.GENESIS) -> DataFrame
     )
 
 
-def arrival_gaps(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """Sequence gaps as seen in arrival order; a late event never moves the head back."""
+def arrival_gaps(events: DataFrame, heads: DataFrame | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """Sequence gaps as seen in arrival order; a late event never moves the head back.
+
+    ``ties`` are columns that order events with equal arrival, such as the batch; they are returned
+    as well. Events that these leave equal are ordered by sequence.
+    """
     seen = with_running(
-        events.select("node_id", "sequence", "arrival"), ["node_id"], "arrival", F.col("sequence"),
-        "_head", inclusive=False,
+        events.select("node_id", "sequence", "arrival", *ties), ["node_id"], "arrival", F.col("sequence"),
+        "_head", inclusive=False, ties=[*ties, "sequence"],
     )
     if heads is not None:
         known = heads.select("node_id", F.col("chain_sequence").alias("_stored"))
@@ -90,7 +100,7 @@ def arrival_gaps(events: DataFrame, heads: DataFrame | None = None) -> DataFrame
         seen = seen.withColumn("_stored", F.lit(0).cast("bigint"))
     head = F.coalesce(F.greatest("_head", "_stored"), F.lit(0).cast("bigint"))
     return seen.filter(F.col("sequence") > head + 1).select(
-        "node_id", "arrival", (head + 1).alias("expected"), F.col("sequence").alias("received"),
+        "node_id", "arrival", *ties, (head + 1).alias("expected"), F.col("sequence").alias("received"),
         (F.col("sequence") - head - 1).alias("missing"),
     )
 

@@ -113,7 +113,7 @@ def plate_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: f
     rank = F.col("rank").cast("bigint")
     rows = candidates.withColumn("w", w).filter("w > 0").select(
         "track_id", "system", "canonical", "score", P.band_rank(F.col("confidence")).alias("band"),
-        (F.col("frame").cast("bigint") * 64 + rank).alias("seen"), F.when(rank == 0, F.col("w")).otherwise(0.0).alias("top_w"),
+        F.struct(F.col("frame").cast("bigint").alias("frame"), rank.alias("rank")).alias("seen"), F.when(rank == 0, F.col("w")).otherwise(0.0).alias("top_w"),
         (rank == 0).alias("top"), (F.col("w") * F.col("score") * F.pow(F.lit(0.5), rank)).alias("cw"),
         F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], f["score"]))).alias("scores"),
     )
@@ -122,7 +122,7 @@ def plate_votes(candidates: DataFrame, pooled: DataFrame | None = None, gamma: f
     weight = rows.groupBy("track_id").agg(F.sum("top_w").alias("total_w"))
     extra = pooled.join(weight, "track_id", "left").select(
         "track_id", "system", "canonical", "score", P.band_rank(F.col("confidence")).alias("band"),
-        (F.lit(1 << 62) + rank).alias("seen"), F.lit(0.0).alias("top_w"), F.lit(False).alias("top"),
+        F.struct(F.lit((1 << 63) - 1).alias("frame"), rank.alias("rank")).alias("seen"), F.lit(0.0).alias("top_w"), F.lit(False).alias("top"),
         (F.coalesce("total_w", F.lit(1.0)) * F.col("score")).alias("cw"),
         # Field votes of a pooled candidate carry the plate's score.
         F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], F.col("score").alias("score")))).alias("scores"),

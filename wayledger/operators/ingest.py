@@ -57,12 +57,12 @@ def expiry(start: Column, days: int) -> Column:
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:
-    """One event per ``(node_id, sequence)``: the earliest arrival.
+    """One event per ``(node_id, sequence)``: the earliest arrival, of equal ones the smallest batch.
 
-    The ``row_number`` filter becomes a group limit that already runs before the shuffle,
+    Arrival numbers of different batches may overlap; within a batch they are distinct. The ``row_number`` filter becomes a group limit that already runs before the shuffle,
     so a flood of copies of one event leaves each map task as a single row.
     """
-    w = W.partitionBy("node_id", "sequence").orderBy("arrival")
+    w = W.partitionBy("node_id", "sequence").orderBy(*(c for c in ("arrival", "batch_id") if c in events.columns))
     return events.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
@@ -251,17 +251,16 @@ def receipt(events: DataFrame, stored: DataFrame | None = None, heads: DataFrame
     from .chain import arrival_gaps
 
     # First copies are found by a group-limited window; all others are duplicates.
-    firsts = first_arrivals(events.select("node_id", "sequence", "arrival")).select(
-        "node_id", "sequence", "arrival", F.lit(True).alias("_first")
-    )
-    rows = events.join(firsts, ["node_id", "sequence", "arrival"], "left")
+    events = events.withColumn("batch_id", F.coalesce("batch_id", F.lit("")))
+    firsts = first_arrivals(events.select("node_id", "sequence", "arrival", "batch_id")).withColumn("_first", F.lit(True))
+    rows = events.join(firsts, ["node_id", "sequence", "arrival", "batch_id"], "left")
     if stored is not None:
         known = stored.select("node_id", "sequence", F.lit(True).alias("_stored")).distinct()
         rows = rows.join(known, ["node_id", "sequence"], "left")
     else:
         rows = rows.withColumn("_stored", F.lit(None).cast("boolean"))
-    gaps = arrival_gaps(events, heads).select("node_id", "arrival", "expected", "missing")
-    rows = rows.join(gaps, ["node_id", "arrival"], "left")
+    gaps = arrival_gaps(events, heads, ties=["batch_id"]).select("node_id", "arrival", "batch_id", "expected", "missing")
+    rows = rows.join(gaps, ["node_id", "arrival", "batch_id"], "left")
     duplicate = F.col("_first").isNull() | F.col("_stored").isNotNull()
     kind = kind_of(F.col("payload"))
     plate = F.coalesce(F.get_json_object("payload", "$.plate"), F.lit(""))

@@ -40,13 +40,13 @@ def with_previous(
 
 def with_running(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str,
-    func=F.max, forward: bool = True, inclusive: bool = True, block: Column | None = None,
+    func=F.max, forward: bool = True, inclusive: bool = True, block: Column | None = None, ties: Sequence[str] = (),
 ) -> DataFrame:
     """Running maximum (or minimum) of ``value`` along ``order`` within ``keys``.
 
     ``forward=False`` looks at later rows instead of earlier ones; ``inclusive=False`` leaves
     the row itself out. Structs compare field by field, so a struct led by the order column
-    gives the last (or next) known value.
+    gives the last (or next) known value. ``ties`` order rows that share a value of ``order``.
     """
     combine = F.greatest if func is F.max else F.least
     blocked = df.withColumn("_block", block_of(F.col(order)) if block is None else block).withColumn("_value", value)
@@ -56,7 +56,7 @@ def with_running(
         *keys, "_block",
         func("_total").over(across.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"),
     )
-    local = W.partitionBy(*keys, "_block").orderBy(F.col(order) if forward else F.col(order).desc())
+    local = W.partitionBy(*keys, "_block").orderBy(*[F.col(c) if forward else F.col(c).desc() for c in (order, *ties)])
     frame = local.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     joined = blocked.withColumn("_local", func("_value").over(frame)).join(carry, [*keys, "_block"], "left")
     return joined.select(*df.columns, combine("_local", "_carry").alias(out))
@@ -65,16 +65,11 @@ def with_running(
 def with_halo(
     df: DataFrame, order: str, before: int, after: int = 0, size: int = BLOCK
 ) -> DataFrame:
-    """Copy rows near a block border into the neighbouring block.
+    """Copy rows into every block that has to see them, however many blocks that are.
 
     Adds ``_block`` and ``_core`` (false on copies): windows per ``(keys, _block)`` then see
     ``before`` order steps back and ``after`` steps ahead of every core row.
     """
-    own = block_of(F.col(order), size)
-    offset = F.col(order) - own * size
-    targets = F.array_compact(F.array(
-        own,
-        F.when(offset >= size - before, own + 1),
-        F.when(offset < after, own - 1),
-    ))
-    return df.select("*", F.explode(targets).alias("_block")).withColumn("_core", F.col("_block") == own)
+    place = F.col(order)
+    seen_from = F.sequence(block_of(place - after, size), block_of(place + before, size))
+    return df.select("*", F.explode(seen_from).alias("_block")).withColumn("_core", F.col("_block") == block_of(place, size))

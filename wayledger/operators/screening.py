@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import refdata as R
 from ..functions.plates import with_canonical
 from ..functions.pseudonym import PlateHasher
 
@@ -72,10 +73,13 @@ def acknowledged(hits: DataFrame, acknowledgements: DataFrame) -> DataFrame:
 def hit_list(
     hits: DataFrame, reads: DataFrame, watchlist: DataFrame, unacknowledged_only: bool = True, limit: int = 500
 ) -> DataFrame:
-    """Newest hits with their read and entry. The page is cut before the joins."""
+    """Newest hits with their read and entry. The page is cut before the joins.
+
+    A page never exceeds ``MAX_LIMIT`` rows, whatever is asked.
+    """
     page = hits.filter("acknowledged_at is null") if unacknowledged_only else hits
-    top = page.orderBy(F.col("matched_at").desc(), F.col("id").desc()).limit(limit)
-    # At most ``limit`` rows: a proven bound, so the page is the broadcast side.
+    top = page.orderBy(F.col("matched_at").desc(), F.col("id").desc()).limit(min(limit, R.MAX_LIMIT))
+    # At most ``MAX_LIMIT`` rows: a proven bound, so the page is the broadcast side.
     r = reads.select(F.col("id").alias("read_id"), "plate_canonical", "camera_id", "captured_at")
     w = watchlist.select(F.col("id").alias("watchlist_id"), "category")
     found_reads = r.join(F.broadcast(top.select("read_id").distinct()), "read_id", "left_semi")
@@ -87,4 +91,4 @@ def hit_list(
 
 
 def active_entries(watchlist: DataFrame, limit: int = 500) -> DataFrame:
-    return watchlist.filter("active").orderBy(F.col("added_at").desc(), F.col("id").desc()).limit(limit)
+    return watchlist.filter("active").orderBy(F.col("added_at").desc(), F.col("id").desc()).limit(min(limit, R.MAX_LIMIT))

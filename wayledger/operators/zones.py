@@ -28,25 +28,36 @@ def memberships(frames: DataFrame, zones: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).drop("polygon", "box")
 
 
-def transitions(members: DataFrame, max_run: int = 64, block: int = BLOCK, lost_grace_frames: int = 0) -> DataFrame:
+def longest_threshold(zones: DataFrame) -> int:
+    """The most frames any zone wants to see in a row; ``zones`` may be the zones or rows joined with them."""
+    return zones.agg(F.max(F.greatest("enter_frames", "exit_frames"))).first()[0] or 1
+
+
+def transitions(
+    members: DataFrame, zones: DataFrame | None = None, block: int = BLOCK, lost_grace_frames: int = 0, idle_seconds: float | None = None,
+) -> DataFrame:
     """Entry, exit and loss events per (camera, track, zone).
 
     A latch turns on after ``enter_frames`` consecutive frames inside and off after
-    ``exit_frames`` outside; a missing frame ends the presence and resets it. Rows are cut in
-    blocks of frames with a halo of ``max_run`` frames (thresholds above it are refused by
-    :func:`check_thresholds`), so a very long track is spread over many tasks; the latch is
-    carried over block borders by one row per block.
+    ``exit_frames`` outside; a missing frame ends the presence and resets it, and so does a pause
+    longer than ``idle_seconds`` where that is given. Rows are cut in blocks of frames with a halo
+    as wide as the longest threshold of ``zones``, whatever it is, so a very long track is spread
+    over many tasks; the latch is carried over block borders by one row per block. Signals are
+    written once, so that the frames behind them are read once.
     """
-    reach = max_run + lost_grace_frames
+    # A frame's run is as long as asked for if as many rows before it, each within the grace, agree.
+    reach = longest_threshold(members if zones is None else zones) * (1 + lost_grace_frames)
     near = with_halo(members, "frame_index", before=reach, after=1 + lost_grace_frames, size=block)
     w = W.partitionBy(*KEYS, "_block").orderBy("frame_index")
     step = 1 + lost_grace_frames
     lagged = near.select(
-        "*", F.lag("frame_index").over(w).alias("_pf"), F.lag("inside").over(w).alias("_pi"),
+        "*", F.lag("frame_index").over(w).alias("_pf"), F.lag("ts").over(w).alias("_pt"), F.lead("ts").over(w).alias("_nt"), F.lag("inside").over(w).alias("_pi"),
         F.lead("frame_index").over(w).alias("_nf"), F.row_number().over(w).alias("_n"),
     )
-    starts = F.col("_pf").isNull() | (F.col("frame_index") - F.col("_pf") > step)
-    ends = F.col("_nf").isNull() | (F.col("_nf") - F.col("frame_index") > step)
+    paused = lambda a, b: F.lit(False) if idle_seconds is None else (
+        F.unix_micros(b) - F.unix_micros(a) > int(idle_seconds * 1_000_000))
+    starts = F.col("_pf").isNull() | (F.col("frame_index") - F.col("_pf") > step) | paused("_pt", "ts")
+    ends = F.col("_nf").isNull() | (F.col("_nf") - F.col("frame_index") > step) | paused("ts", "_nt")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     run_start = F.last(F.when(starts | (F.col("inside") != F.col("_pi")), F.col("_n")), ignorenulls=True).over(upto)
     runs = lagged.select("*", starts.alias("_starts"), ends.alias("_ends"), (F.col("_n") - run_start + 1).alias("_len")).filter("_core")
@@ -55,7 +66,8 @@ def transitions(members: DataFrame, max_run: int = 64, block: int = BLOCK, lost_
         .when(~F.col("inside") & (F.col("_len") >= F.col("exit_frames")), False)
         .when(F.col("_starts"), False)
     )
-    signalled = runs.select(*KEYS, "_block", "frame_index", "ts", "max_dwell_seconds", "_starts", "_ends", signal.alias("_signal"))
+    signalled = materialise(runs.select(
+        *KEYS, "_block", "frame_index", "ts", "max_dwell_seconds", "_starts", "_ends", signal.alias("_signal")))
     summary = signalled.groupBy(*KEYS, "_block").agg(
         F.max_by("_signal", F.when(F.col("_signal").isNotNull(), F.col("frame_index"))).alias("_last")
     )
@@ -79,11 +91,6 @@ def transitions(members: DataFrame, max_run: int = 64, block: int = BLOCK, lost_
     ).select(*KEYS, "e.kind", "e.at_frame", F.when(F.col("e.kind") != "lost", F.col("ts")).alias("at"), "max_dwell_seconds")
 
 
-def check_thresholds(zones: DataFrame, max_run: int = 64) -> DataFrame:
-    """Zones whose debounce needs a wider halo than ``max_run`` frames."""
-    return zones.filter((F.col("enter_frames") > max_run) | (F.col("exit_frames") > max_run))
-
-
 def sessions(frames: DataFrame, zones: DataFrame, **options) -> DataFrame:
     """Zone sessions with entry, end, reason and dwell; open sessions have no end.
 
@@ -92,7 +99,7 @@ def sessions(frames: DataFrame, zones: DataFrame, **options) -> DataFrame:
     """
     # Transitions are a small part of the frames: written once, so that no later step runs over
     # the frames again.
-    events = materialise(transitions(memberships(frames, zones), **options))
+    events = materialise(transitions(memberships(frames, zones), zones, **options))
     camera_frames = frames.groupBy("camera_id", "frame_index").agg(F.min("ts").alias("frame_ts"))
     # A loss is dated by the camera's frame after the last one; without such a frame the session is open.
     dated = events.join(camera_frames.withColumnRenamed("frame_index", "at_frame"), ["camera_id", "at_frame"], "left").filter(

@@ -15,7 +15,7 @@ from ...sources.tables import SCHEMAS
 from ...streaming import live
 from .. import adapters as A
 from . import intake, vision
-from .registry import query, values_sql
+from .registry import hmac_sql, query, values_sql
 
 _WIDTH = "CASE WHEN width_px < 40 THEN '0-40px' WHEN width_px < 60 THEN '40-60px' WHEN width_px < 90 THEN '60-90px' WHEN width_px < 130 THEN '90-130px' ELSE '130px+' END"
 _QUALITY = "CASE WHEN quality >= 0.7 THEN 'clean' WHEN quality >= 0.4 THEN 'moderate' ELSE 'degraded' END"
@@ -140,13 +140,25 @@ def _stream(t, name: str):
     return t.spark.sql(A.SOURCES[name](A.SPARK), events=_event_stream(t))
 
 
-@query("qry8_stream_rollup", "reads", sql="""
-, hours AS (SELECT date_trunc('hour', captured_at) AS bucket, camera_id, site_id, count(*) AS n_reads, count(*) FILTER (WHERE confidence = 'high') AS n_high FROM reads WHERE NOT provisional GROUP BY ALL)
-SELECT * FROM hours WHERE bucket + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(captured_at)) - INTERVAL 3 DAYS FROM reads WHERE NOT provisional)""")
+def _in_slices(t, rows, by, n: int) -> str:
+    """Rows written as ``n`` files one after the other, so that a stream takes them in this order."""
+    path = shared_dir(t.spark) + "/slices"
+    sliced = once(rows, slice=by)
+    for k in range(n):
+        sliced.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("qry8_stream_rollup", "reads", sql=f"""
+SELECT date_trunc('hour', captured_at) AS bucket, camera_id, site_id, count(*) AS n_reads, count(*) FILTER (WHERE confidence = 'high') AS n_high,
+ count(DISTINCT {hmac_sql('plate_canonical')}) AS n_distinct_plates FROM reads WHERE NOT provisional GROUP BY ALL""")
 def _(t):
-    """Hours the watermark has closed; distinct plates are approximate in a stream and left out."""
-    reads = _stream(t, "reads").withColumn("plate_hmac", t.hasher.hash(F.col("plate_canonical")))
-    return live.run_to_table(live.hourly_rollup(reads), shared_dir(t.spark)).drop("n_distinct_plates")
+    """All hours, though each gets reads from several micro-batches."""
+    reads = once(t.reads, plate_hmac=t.hasher.hash(F.col("plate_canonical")))
+    inbox, out = _in_slices(t, reads, F.pmod(F.xxhash64("id"), F.lit(3)), 3), shared_dir(t.spark)
+    stream = t.spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    live.start_rollup(t.spark, stream, f"{out}/reads", f"{out}/rollup", f"{out}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{out}/rollup").drop("day")
 
 
 @query("qry3_stream_feed", "reads", sql="SELECT id, captured_at, plate_canonical, confidence FROM reads WHERE NOT provisional AND camera_id = 'CAM-view'")
@@ -168,12 +180,28 @@ def _(t):
 once AS (SELECT batch_node, sequence, bool_and(ok) AS ok FROM d WHERE seq IS NOT NULL AND seq <> 'x1' AND claimed = batch_node GROUP BY ALL)
 SELECT batch_node AS node_id, count(*) AS n_events, count(*) FILTER (WHERE ok) AS n_verified FROM once GROUP BY 1""")
 def _(t):
+    """Several micro-batches, then all deliveries again under a new checkpoint: each event is stored once."""
     inbox, out = intake._write_envelopes(t), shared_dir(t.spark)
-    live.start_ingest(t.spark, inbox, f"{out}/events", f"{out}/checkpoint", files_per_batch=4).awaitTermination()
+    for start in ("first", "second"):
+        live.start_ingest(t.spark, inbox, f"{out}/events", f"{out}/{start}", files_per_batch=4).awaitTermination()
+    live.compact(t.spark, f"{out}/events")
     stored = t.spark.read.parquet(f"{out}/events")
     return stored.groupBy("node_id").agg(F.count("*").alias("n_events"), F.count_if("verified").alias("n_verified"))
 
 
+@query("src1_stream_rejects", "deliveries", sql=", d AS (" + intake._ENVELOPE.format(deliveries="deliveries") + """)
+SELECT status, count(*) AS n FROM (
+ SELECT CASE WHEN seq IS NULL THEN 'malformed event: missing sequence' WHEN seq = 'x1' THEN 'malformed event: bad sequence' ELSE 'other node' END AS status FROM d
+  WHERE seq IS NULL OR seq = 'x1' OR claimed <> batch_node
+ UNION ALL SELECT 'not json' FROM (SELECT DISTINCT batch_id FROM d) b) s GROUP BY status""")
+def _(t):
+    """What the stream refuses, with its reason."""
+    inbox, out = intake._write_envelopes(t), shared_dir(t.spark)
+    live.start_ingest(t.spark, inbox, f"{out}/events", f"{out}/checkpoint", files_per_batch=4, rejects_path=f"{out}/rejects").awaitTermination()
+    status = F.when(F.col("error").startswith("event claims"), "other node").otherwise(F.col("error"))
+    return t.spark.read.parquet(f"{out}/rejects").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def _frame_stream(t):
     live_tables = A.Tables(t.spark, t.sf_dir)
     live_tables._built["events"] = _event_stream(t)
@@ -190,14 +218,19 @@ def _(t):
     return live.run_to_table(live.passages(_frame_stream(t), 3600.0), shared_dir(t.spark))
 
 
-@query("zon4_stream_transitions", "track_frames", sql=vision._TRANS + """
-, ends_at AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECONDS AS mark FROM track_frames)
-SELECT camera_id, track_id, zone_id, kind, at_frame FROM trans WHERE kind <> 'lost'
-UNION ALL SELECT t.camera_id, t.track_id, t.zone_id, t.kind, t.at_frame FROM trans t WHERE kind = 'lost' AND EXISTS (SELECT 1 FROM m WHERE m.camera_id = t.camera_id AND m.track_id = t.track_id
- AND m.zone_id = t.zone_id AND m.frame_index > t.at_frame - 1)
-UNION ALL SELECT t.camera_id, t.track_id, t.zone_id, t.kind, t.at_frame FROM trans t WHERE kind = 'lost' AND NOT EXISTS (SELECT 1 FROM m WHERE m.camera_id = t.camera_id AND m.track_id = t.track_id
- AND m.zone_id = t.zone_id AND m.frame_index > t.at_frame - 1) AND (SELECT max(ts) FROM m WHERE m.camera_id = t.camera_id AND m.track_id = t.track_id AND m.zone_id = t.zone_id) + INTERVAL 60 SECONDS < (SELECT mark FROM ends_at)""")
-def _(t):
-    """Debounced zone events from a stream; tracks still in view at the end keep their state."""
-    members = Z.memberships(_frame_stream(t), t.zones)
-    return live.run_to_table(live.zone_transitions(members), shared_dir(t.spark)).drop("at")
+@query("zon4_stream_transitions", "track_frames", sql=vision._TRANS.replace("frame_index - lag(frame_index) OVER k > 1,", "frame_index - lag(frame_index) OVER k > 1 OR epoch_us(ts) - epoch_us(lag(ts) OVER k) > 60000000,").replace(
+    "lead(frame_index) OVER k - frame_index > 1,", "lead(frame_index) OVER k - frame_index > 1 OR epoch_us(lead(ts) OVER k) - epoch_us(ts) > 60000000,") + """
+, taken AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECONDS AS mark FROM track_frames)
+SELECT t.camera_id, t.track_id, t.zone_id, t.kind, t.at_frame, t.at_time AS at FROM trans t, taken WHERE kind <> 'lost' AND at_time <= mark
+UNION ALL SELECT t.camera_id, t.track_id, t.zone_id, t.kind, t.at_frame, NULL FROM trans t, taken WHERE kind = 'lost' AND (
+ EXISTS (SELECT 1 FROM m WHERE m.camera_id = t.camera_id AND m.track_id = t.track_id AND m.zone_id = t.zone_id AND m.frame_index > t.at_frame - 1 AND m.ts <= mark)
+ OR (SELECT max(ts) FROM m WHERE m.camera_id = t.camera_id AND m.track_id = t.track_id AND m.zone_id = t.zone_id AND m.frame_index = t.at_frame - 1) + INTERVAL 60 SECONDS < mark)""")
+def _(t):
+    """Frames come shuffled within 8 seconds and over five micro-batches; those after the last watermark still wait."""
+    rows = t.frames.select("camera_id", "track_id", "frame_index", "ts", "box")
+    span = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    low, width = (span[0] or 0), max(((span[1] or 0) - (span[0] or 0)) // 5 + 1, 9_000_000)
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(8_000_000))
+    inbox = _in_slices(t, rows, F.least(F.floor((arrival - low) / width), F.lit(4)).cast("int"), 5)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    return live.run_to_table(live.zone_transitions(Z.memberships(stream, t.zones)), shared_dir(t.spark))

@@ -201,7 +201,7 @@ def _(t):
 
 @query("zon4_5_transitions", "track_frames", sql=_TRANS + "SELECT * FROM trans")
 def _(t):
-    rows = Z.transitions(Z.memberships(t.frames, t.zones))
+    rows = Z.transitions(Z.memberships(t.frames, t.zones), t.zones)
     return rows.drop("max_dwell_seconds").withColumnRenamed("at", "at_time")
 
 

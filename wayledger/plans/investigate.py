@@ -18,6 +18,10 @@ from ..functions.pseudonym import PlateHasher
 from ..operators import governance as gov
 from ..operators.screening import at
 
+#: Characters that a partial plate must have.
+MIN_FRAGMENT = 3
+
+
 class InvalidSearch(ValueError):
     """A search that cannot run; ``code`` goes to the access log."""
 
@@ -47,13 +51,11 @@ def sightings(reads: DataFrame, plate_hmac: str | Column, since=None, until=None
 
 def partial(reads: DataFrame, fragment: str, since=None, limit: int = 200) -> DataFrame:
     """Reads whose plate contains the fragment literally; at least three characters."""
-    cleaned = fragment.strip().upper()
-    if len(cleaned) < 3:
-        raise InvalidSearch("fragment_too_short", "a partial plate search needs at least 3 characters")
-    rows = reads.filter(F.contains("plate_canonical", F.lit(cleaned)))
-    if since is not None:
-        rows = rows.filter(F.col("captured_at") >= at(since))
-    return _newest(rows, limit)
+    wanted = fragment.strip().upper()
+    if len(wanted) < MIN_FRAGMENT:
+        raise InvalidSearch("fragment_too_short", f"{len(wanted)} characters would match too many plates: give {MIN_FRAGMENT} or more")
+    from_time = F.lit(True) if since is None else F.col("captured_at") >= at(since)
+    return _newest(reads.filter(from_time & F.col("plate_canonical").contains(wanted)), limit)
 
 
 def live_feed(reads: DataFrame, as_of, minutes: int = 15, camera_id: str | None = None, limit: int = 200) -> DataFrame:
@@ -164,7 +166,7 @@ def hourly_rollup(reads: DataFrame) -> DataFrame:
 
 def review_queue(reviews: DataFrame, reads: DataFrame, limit: int = 50) -> DataFrame:
     """Oldest unreviewed items with their read; the page is cut before the join."""
-    page = reviews.filter("reviewed_at is null").orderBy("queued_at", "read_id").limit(limit)
+    page = reviews.filter("reviewed_at is null").orderBy("queued_at", "read_id").limit(min(limit, R.MAX_LIMIT))
     r = reads.select(F.col("id").alias("read_id"), "camera_id", "captured_at", "confidence")
     found = r.join(F.broadcast(page.select("read_id").distinct()), "read_id", "left_semi")
     return page.join(found, "read_id", "left")

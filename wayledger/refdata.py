@@ -70,11 +70,13 @@ EMBOSSED_COLOUR = "white_black"
 COLOURS = [*COLOUR_OWNERSHIP, EMBOSSED_COLOUR]
 
 # Glyphs that collapse into each other in a bad image.
-CONFUSION_GROUPS = [
-    "ग ध घ", "च ज ञ", "प फ य", "ब भ क", "क ख", "म भ", "स ग",
-    "२ ३", "४ ५", "६ ७ ९", "० ९", "१ ३", "८ ६",
-    "0 O D Q", "1 I L", "8 B", "5 S", "2 Z", "6 G", "U V", "7 T", "E F", "C G",
-]
+DEVANAGARI_CONFUSIONS = (
+    ("ग", "ध", "घ"), ("च", "ज", "ञ"), ("प", "फ", "य"), ("ब", "भ", "क"), ("क", "ख"), ("म", "भ"), ("स", "ग"),
+    ("२", "३"), ("४", "५"), ("६", "७", "९"), ("०", "९"), ("१", "३"), ("८", "६"),
+)
+LATIN_CONFUSIONS = (
+    ("0", "O", "D", "Q"), ("1", "I", "L"), ("8", "B"), ("5", "S"), ("2", "Z"), ("6", "G"), ("U", "V"), ("7", "T"), ("E", "F"), ("C", "G"),
+)
 
 # Observed vehicle types a plate size band may be carried by.
 SIZE_VEHICLES = {
@@ -128,10 +130,13 @@ ZONE_WEIGHTS = {
     "LU": 9.0, "DHA": 2.5, "RA": 4.5, "BHE": 4.0, "KA": 1.5, "SE": 3.0, "MA": 2.0,
 }
 
+# Kinds of events.
 EVENT_KINDS = ["plate_read", "zone_entry", "zone_exit", "session_plate", "unreadable_passage"]
 GENESIS = "0" * 64
+# Fixed value: rows of a result page at most.
 MAX_LIMIT = 1000
-DEVA_DIGITS = "".join(chr(0x0966 + i) for i in range(10))
+# Fixed value: the Devanagari digits.
+DEVA_DIGITS = "०१२३४५६७८९"
 
 
 def vocabulary() -> list[str]:
@@ -145,9 +150,9 @@ def confusable_pairs() -> list[tuple[str, str]]:
     """Symmetric glyph pairs of the confusion groups."""
     pairs = {
         (a, b)
-        for group in CONFUSION_GROUPS
-        for a in group.split()
-        for b in group.split()
+        for group in DEVANAGARI_CONFUSIONS + LATIN_CONFUSIONS
+        for a in group
+        for b in group
         if a != b
     }
     return sorted(pairs)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -18,6 +17,9 @@ SETTINGS = {
 }
 
 
+_SCRATCH: list[str] = []
+
+
 def build_session(app: str = "wayledger", master: str | None = None, **conf: str) -> SparkSession:
     """A session with this library's settings; ``master`` only for local use."""
     builder = SparkSession.builder.appName(app)
@@ -28,21 +30,47 @@ def build_session(app: str = "wayledger", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def file_system(spark: SparkSession, path: str):
+    """``(Hadoop file system, Hadoop path)`` of a folder in any store."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 
-    A machine-local folder is made only where the cluster names none, as in tests.
+    The folder is the setting ``spark.checkpoint.dir``, else the context's checkpoint folder. Where
+    the cluster names none, only a session within one machine may go on, with a folder of its own:
+    executors elsewhere would not see it. The new folder is deleted when the driver ends, or before
+    by :func:`drop_scratch`, so copies of personal data do not outlive the session.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/wayledger-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/wayledger-{uuid.uuid4().hex}"
+    system, target = file_system(spark, path)
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every folder of :func:`shared_dir`, once nothing reads them; returns their number."""
+    dropped = 0
+    while _SCRATCH:
+        system, target = file_system(spark, _SCRATCH.pop())
+        dropped += bool(system.delete(target, True))
+    return dropped
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a written table that survives the loss of executors."""
-    path = os.path.join(shared_dir(df.sparkSession), "table")
+    path = f"{shared_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

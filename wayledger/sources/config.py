@@ -17,10 +17,10 @@ NODE_SCHEMA = (
 
 def zones(raw: DataFrame) -> DataFrame:
     """Zone rows with defaults; zones under three points raise with their ids."""
-    bad = raw.filter(F.coalesce(F.size("polygon"), F.lit(0)) < 3).select("zone_id").limit(20)
-    ids = [r[0] for r in bad.collect()]  # at most 20 ids, for the message
+    bad = raw.filter(F.coalesce(F.size("polygon"), F.lit(0)) < 3).select("zone_id")
+    ids = [r[0] for r in bad.limit(20).collect()]  # at most 20 ids, for the message
     if ids:
-        raise ValueError(f"zones need at least 3 points: {sorted(map(str, ids))}")
+        raise ValueError(f"zones need at least 3 points: {bad.count()} have fewer, among them {sorted(map(str, ids))}")
     points = F.transform("polygon", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return raw.select(
         "zone_id", "camera_id", F.coalesce("name", "zone_id").alias("name"), points.alias("polygon"),

@@ -41,7 +41,12 @@ def bad_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.count_if("_bad").alias("n_bad"))
 
 
-def write_index(corpus: DataFrame, path: str, row_id: str = "i") -> None:
-    """JSON lines, at most 1000 rows per shard folder."""
-    shard = F.lpad(F.floor(F.col(row_id) / 1000).cast("string"), 5, "0")
+def write_index(corpus: DataFrame, path: str, row_id: str = "i", rows_per_shard: int = 1000) -> None:
+    """JSON lines, at most ``rows_per_shard`` rows per shard folder.
+
+    Shard names have five digits, or more where they need more. 1000 rows is the format's own rule;
+    a large corpus wants far fewer folders.
+    """
+    number = F.floor(F.col(row_id) / rows_per_shard).cast("string")
+    shard = F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)
     corpus.withColumn("shard", shard).repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,75 +12,143 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chain, ingest
-from ..operators.ordered import block_of
 from ..operators.screening import screen
+from ..session import file_system
 from ..sources import events as ev
 
 
-def deduplicated(events: DataFrame, horizon: str = "3 days") -> DataFrame:
-    """First copy of each event within the watermark. The unbounded guarantee comes from the
-    anti-join with stored events in :func:`start_ingest`."""
-    return events.withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(["node_id", "sequence"])
+BATCH = "micro_batch"
 
 
 def stored_events(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(target) else None
+    """The events of a log, null while there are none."""
+    system, target = file_system(spark, path)
+    if not system.exists(target) or not any(f.getPath().getName().startswith(BATCH) for f in system.listStatus(target)):
+        return None
+    return spark.read.parquet(path)
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint belongs to, made and kept with it at the first start.
+
+    Batch numbers begin anew with every checkpoint; with the run's name they stay distinct.
+    """
+    path = f"{checkpoint}/run"
+    system, target = file_system(spark, path)
+    if not system.exists(target):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
 
 
 def apply_batch(
-    spark: SparkSession, batch: DataFrame, batch_id: int, events_path: str,
-    on_new: Callable[[DataFrame], None] | None = None,
+    spark: SparkSession, batch: DataFrame, batch_key: str, events_path: str, rejects_path: str | None = None,
+    nodes: DataFrame | None = None, on_new: Callable[[DataFrame], None] | None = None,
 ) -> None:
-    """Append the batch's new events. Re-running a batch after a failure replaces its own
-    partitions, so nothing is stored twice.
+    """Append a batch's new events, and what was refused with its reason.
 
-    The log is partitioned by blocks of sequence numbers. A copy of an event has its sequence,
-    so only the blocks the batch touches are read to find what is stored already.
+    Each batch owns one folder of the log and one of the rejects, under ``batch_key``. Applying it
+    again after a failure replaces these folders and touches no others, so nothing is stored twice
+    and nothing is lost. Copies of stored events are found by node and sequence; the log is sorted
+    by both, and only files whose sequences overlap the batch's are read. ``nodes`` admits events of
+    active nodes only.
     """
     batch.persist()
     try:
-        good, _ = ev.split_wellformed(ev.unpack(batch))
-        good = good.withColumn("sequence_block", block_of(F.col("sequence")))
+        good, bad = ev.split_wellformed(ev.unpack(batch))
+        refused = bad.select("batch_id", "batch_node", "sequence", "error")
+        if nodes is not None:
+            good, shut = ev.from_active_nodes(good, nodes)
+            refused = refused.unionByName(shut.select("batch_id", "batch_node", F.col("sequence").cast("string").alias("sequence"), "error"))
+        if rejects_path is not None:
+            broken = batch.filter(F.col("_corrupt_record").isNotNull()).select(
+                F.col("batch_id"), F.col("node_id").alias("batch_node"), F.lit(None).cast("string").alias("sequence"),
+                F.lit("not json").alias("error"))
+            _own_folder(refused.unionByName(broken), batch_key, rejects_path)
         stored = stored_events(spark, events_path)
         if stored is not None:
-            touched = [r[0] for r in good.select("sequence_block").distinct().collect()]  # block numbers only
-            stored = stored.filter(F.col("sequence_block").isin(touched) & (F.col("micro_batch") != batch_id))
-        fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node").withColumn("micro_batch", F.lit(batch_id))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "sequence_block", "micro_batch").parquet(events_path)
+            low, high = good.agg(F.min("sequence"), F.max("sequence")).first()
+            stored = stored.filter(F.col("sequence").between(low, high) & (F.col(BATCH) != batch_key))
+        fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node")
+        _own_folder(fresh.sortWithinPartitions("node_id", "sequence"), batch_key, events_path)
     finally:
         batch.unpersist()
     if on_new is not None:
-        on_new(spark.read.parquet(events_path).filter(F.col("micro_batch") == batch_id))
+        on_new(spark.read.parquet(events_path).filter(F.col(BATCH) == batch_key))
+
+
+def _own_folder(rows: DataFrame, batch_key: str, path: str) -> None:
+    """Replace the folder of a batch; a batch without rows leaves an empty one."""
+    rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_key}")
+
+
+def compact(spark: SparkSession, events_path: str, keep: int = 1) -> int:
+    """Merge the folders of finished batches into one; returns how many were merged.
+
+    The ``keep`` newest folders stay, since a restart may apply them again. Run it between two runs
+    of the stream. The merged folder becomes visible after the old ones are gone; if that is cut
+    short, the next call ends it, so no event is seen twice or lost.
+    """
+    system, root = file_system(spark, events_path)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def finish(hidden: str, old: list[str]) -> None:
+        for name in old:
+            system.delete(path_of(f"{events_path}/{name}"), True)
+        system.rename(path_of(f"{events_path}/{hidden}/rows"), path_of(f"{events_path}/{BATCH}=merged-{hidden[1:]}"))
+        system.delete(path_of(f"{events_path}/{hidden}"), True)
+
+    listed = [(f.getModificationTime(), f.getPath().getName()) for f in system.listStatus(root)]
+    for _, name in listed:
+        if name.startswith("_merging-"):
+            if system.exists(path_of(f"{events_path}/{name}/old/_SUCCESS")):
+                finish(name, [r[0] for r in spark.read.text(f"{events_path}/{name}/old").collect()])  # folder names only
+            else:
+                system.delete(path_of(f"{events_path}/{name}"), True)
+    old = [name for _, name in sorted(x for x in listed if x[1].startswith(BATCH))][:-keep or None]
+    if len(old) < 2:
+        return 0
+    hidden = f"_merging-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(*[f"{events_path}/{name}" for name in old])
+    rows.repartitionByRange("node_id", "sequence").sortWithinPartitions("node_id", "sequence").write.parquet(f"{events_path}/{hidden}/rows")
+    spark.createDataFrame([(name,) for name in old], "value string").coalesce(1).write.text(f"{events_path}/{hidden}/old")
+    finish(hidden, old)
+    return len(old)
 
 
 def start_ingest(
     spark: SparkSession, inbox: str, events_path: str, checkpoint: str,
     on_new: Callable[[DataFrame], None] | None = None, files_per_batch: int = 1000,
+    rejects_path: str | None = None, nodes: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Watch a folder of event batches and append every new event once."""
+    """Watch a folder of event batches and append every new event once, refused ones to ``rejects_path``."""
     source = ev.read_envelopes(spark, inbox, stream=True, maxFilesPerTrigger=str(files_per_batch))
+    run = run_of(spark, checkpoint)
     return (
-        source.writeStream.foreachBatch(lambda df, i: apply_batch(spark, df, i, events_path, on_new))
+        source.writeStream.foreachBatch(
+            lambda df, i: apply_batch(spark, df, f"{run}-{i}", events_path, rejects_path, nodes, on_new))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def hourly_rollup(reads: DataFrame, late: str = "3 days") -> DataFrame:
-    """Streaming roll-up of final reads. Distinct plates are approximate in a stream; the exact
-    number comes from the batch roll-up."""
-    return (
-        reads.filter(~F.col("provisional")).withWatermark("captured_at", late)
-        .groupBy(F.window("captured_at", "1 hour").alias("w"), "camera_id", "site_id")
-        .agg(
-            F.count("*").alias("n_reads"), F.count_if(F.col("confidence") == "high").alias("n_high"),
-            F.approx_count_distinct("plate_hmac").alias("n_distinct_plates"),
-        )
-        .select(F.col("w.start").alias("bucket"), "camera_id", "site_id", "n_reads", "n_high", "n_distinct_plates")
-    )
+def start_rollup(spark: SparkSession, reads: DataFrame, reads_path: str, rollup_path: str, checkpoint: str) -> StreamingQuery:
+    """Keep reads and their hourly roll-up: a batch rewrites the days it touches, exactly, however late.
+
+    Every batch is stored in a folder of its own, then the hours of each touched day are computed
+    anew from all its stored reads and replace the day's partition. Distinct plates are exact.
+    """
+    from ..plans.investigate import hourly_rollup
+
+    run = run_of(spark, checkpoint)
+
+    def refresh(batch: DataFrame, number: int) -> None:
+        _own_folder(batch.withColumn("day", F.to_date("captured_at")).sortWithinPartitions("day"), f"{run}-{number}", reads_path)
+        stored = spark.read.parquet(reads_path)
+        touched = stored.filter(F.col(BATCH) == f"{run}-{number}").select("day").distinct()
+        rows = hourly_rollup(stored.join(touched, "day", "left_semi"))
+        rows.withColumn("day", F.to_date("bucket")).repartition("day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rollup_path)
+
+    return reads.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def final_reads(reads: DataFrame, camera_id: str | None = None) -> DataFrame:
@@ -104,52 +173,69 @@ def passages(frames: DataFrame, idle_seconds: float, late: str = "10 seconds") -
     )
 
 
-_STATE = "inside boolean, inside_run int, outside_run int, last_frame bigint"
+_STATE = (
+    "latch boolean, run_side boolean, run int, last_frame bigint, last_us bigint, frames array<bigint>, times array<bigint>,"
+    " sides array<boolean>, enters array<int>, exits array<int>"
+)
 _EVENTS = "camera_id string, track_id bigint, zone_id string, kind string, at_frame bigint, at timestamp"
+#: Seconds without a frame of the track, in event time, after which its presence is over.
+IDLE_SECONDS = 60.0
 
 
-def zone_transitions(members: DataFrame, late: str = "10 seconds") -> DataFrame:
-    """Streaming zone transitions: same rows as the batch operator.
+def zone_transitions(members: DataFrame, late: str = "10 seconds", idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+    """Streaming zone transitions: the rows of the batch operator with the same ``idle_seconds``.
 
-    The state machine depends on every frame in order, which built-in stateful operators do
-    not express; Arrow batches feed a small per-key function.
+    Debouncing needs the frames in order, and they may come in any order within ``late``. So frames
+    wait in the state until the watermark has passed them and are then taken in order; what a key
+    keeps is bounded by the frames of that span. A presence whose track stays away is closed once
+    the watermark is ``idle_seconds`` beyond its last frame.
     """
     columns = [c.split()[0] for c in _EVENTS.split(", ")]
-
-    def debounce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Entry, exit and loss of one (camera, track, zone); state is four numbers."""
-        inside, inside_run, outside_run, last = state.get if state.exists else (False, 0, 0, None)
+    idle_us = int(idle_seconds * 1_000_000)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Take the frames that the watermark has passed."""
+        latch, side, run, last, last_us, *waiting = state.get if state.exists else (False, False, 0, None, None, [], [], [], [], [])
+        queue = list(zip(*waiting, strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                times = rows["ts"].astype("datetime64[us]").astype("int64")
+                queue += zip(rows["frame_index"].tolist(), times.tolist(), rows["inside"].tolist(),
+                             rows["enter_frames"].tolist(), rows["exit_frames"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(x for x in queue if x[1] <= mark)
+        queue = [x for x in queue if x[1] > mark]
         out: list[tuple] = []
-        if state.hasTimedOut:
-            if inside:
-                out.append((*key, "lost", last + 1, pd.NaT))
+
+        def over() -> None:
+            if latch:
+                out.append((*key, "lost", last + 1, None))
+
+        for frame, us, inside, enter, leave in ready:
+            if last is not None and (frame > last + 1 or us - last_us > idle_us):
+                over()
+                latch, run = False, 0
+            run = run + 1 if run and side == inside else 1
+            side, last, last_us = inside, frame, us
+            if inside != latch and run >= (enter if inside else leave):
+                latch = inside
+                out.append((*key, "entry" if inside else "exit", frame, us))
+        if last is not None and not queue and mark > last_us + idle_us:
+            over()
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("frame_index")
-            for r in rows.itertuples(index=False):
-                if last is not None and r.frame_index > last + 1:
-                    if inside:
-                        out.append((*key, "lost", last + 1, pd.NaT))
-                    inside, inside_run, outside_run = False, 0, 0
-                inside_run, outside_run = (inside_run + 1, 0) if r.inside else (0, outside_run + 1)
-                if not inside and inside_run >= r.enter_frames:
-                    inside = True
-                    out.append((*key, "entry", r.frame_index, r.ts))
-                elif inside and outside_run >= r.exit_frames:
-                    inside = False
-                    out.append((*key, "exit", r.frame_index, r.ts))
-                last = r.frame_index
-            state.update((bool(inside), int(inside_run), int(outside_run), int(last)))
-            wake = int(rows["ts"].max().timestamp() * 1000) + 60_000
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+            columns_of = [list(c) for c in zip(*queue, strict=True)] if queue else [[], [], [], [], []]
+            state.update((bool(latch), bool(side), int(run), last, last_us, *columns_of))
+            wake = min(x[1] for x in queue) if queue else last_us + idle_us
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
-            frame = pd.DataFrame(out, columns=columns)
-            frame["at"] = pd.to_datetime(frame["at"])
-            yield frame
+            frame_out = pd.DataFrame(out, columns=columns)
+            frame_out["at"] = pd.to_datetime(frame_out["at"], unit="us")
+            yield frame_out
 
     return (
         members.withWatermark("ts", late).groupBy("camera_id", "track_id", "zone_id")
-        .applyInPandasWithState(debounce, _EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(advance, _EVENTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

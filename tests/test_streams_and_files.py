@@ -65,10 +65,10 @@ def test_interrupted_merge_is_ended(spark, tmp_path):
     live.compact(spark, log)
     # As left by a driver that ended before the old folders were gone.
     merged = next(p for p in (tmp_path / "log").iterdir() if "merged" in p.name)
-    hidden = tmp_path / "log" / "_merging-x"
+    hidden = tmp_path / "log" / "_rewriting-x"
     hidden.mkdir()
-    spark.createDataFrame([(merged.name,)], "value string").coalesce(1).write.text(f"{hidden}/old")
-    spark.read.parquet(str(merged)).write.parquet(f"{hidden}/rows")
+    spark.createDataFrame([(str(merged),)], "value string").coalesce(1).write.text(f"{hidden}/old")
+    spark.read.parquet(str(merged)).write.parquet(f"{hidden}/rows/{live.BATCH}=merged-x")
     live.compact(spark, log)
     assert sorted(r.sequence for r in spark.read.parquet(log).collect()) == [0, 1, 2]
     assert not hidden.exists() and not merged.exists()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ... import refdata as R
 from ...operators import governance as V
 from ...operators import retention as E
+from ...operators import upkeep
+from ...session import shared_dir
 from .. import adapters as A
 from ..adapters import SWEEP_AS_OF
 from .registry import query, values_sql
@@ -88,6 +90,31 @@ def _(t):
     return out
 
 
+def _keys(tables, keys):
+    out = None
+    for name, k in keys.items():
+        part = tables[name].select(F.lit(name).alias("table_name"), F.col(k).cast("string").alias("key"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("ret1_applied", *_USES, "watchlist", sql=f"""
+, held AS (SELECT DISTINCT plate_canonical FROM watchlist WHERE category = 'MACHINERY'),
+gone AS (SELECT id FROM reads WHERE {_EXPIRED} AND plate_canonical NOT IN (SELECT plate_canonical FROM held)),
+refs AS (SELECT plate_image_sha256 AS sha256 FROM reads WHERE id NOT IN (SELECT id FROM gone) UNION SELECT context_image_sha256 FROM reads WHERE id NOT IN (SELECT id FROM gone) AND context_image_sha256 IS NOT NULL)
+SELECT 'reads' AS table_name, cast(id as string) AS key FROM reads WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'sessions', session_id FROM zone_sessions WHERE NOT {_EXPIRED} OR coalesce(plate_canonical IN (SELECT plate_canonical FROM held), false)
+UNION ALL SELECT 'hits', cast(id as string) FROM hits WHERE read_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'reviews', cast(read_id as string) FROM reviews WHERE read_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'blobs', sha256 FROM blobs WHERE NOT ({_EXPIRED} AND sha256 NOT IN (SELECT sha256 FROM refs))""")
+def _(t):
+    """Stored tables after holds were written into them and a sweep was carried out."""
+    root = shared_dir(t.spark)
+    upkeep.store(_tables(t), root)
+    upkeep.apply_holds(t.spark, root, E.hold_for_case(t.keyed("watchlist").filter(_HELD), SWEEP_AS_OF))
+    upkeep.apply_sweep(t.spark, root, SWEEP_AS_OF)
+    return _keys(upkeep.stored(t.spark, root), {"reads": "id", "sessions": "session_id", "hits": "id", "reviews": "read_id", "blobs": "sha256"})
+
+
 @query("ret2_removable_blobs", "reads", "blobs", sql=f"""
 , refs AS ({_REFS}) SELECT sha256 FROM blobs WHERE {_EXPIRED} AND sha256 NOT IN (SELECT sha256 FROM refs)""")
 def _(t):
@@ -152,6 +179,19 @@ def _(t):
     return out
 
 
+@query("ret5_applied", "reads", "zone_sessions", "hits", "reviews", "watchlist", sql=_TODO + """
+, gone AS (SELECT id FROM reads WHERE plate_canonical IN (SELECT plate_canonical FROM todo))
+SELECT 'reads' AS table_name, cast(id as string) AS key FROM reads WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'sessions', session_id FROM zone_sessions WHERE coalesce(plate_canonical NOT IN (SELECT plate_canonical FROM todo), true)
+UNION ALL SELECT 'hits', cast(id as string) FROM hits WHERE read_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'reviews', cast(read_id as string) FROM reviews WHERE read_id NOT IN (SELECT id FROM gone)""")
+def _(t):
+    """Stored tables after the pending requests were carried out."""
+    root = shared_dir(t.spark)
+    upkeep.store(_tables(t), root)
+    upkeep.apply_erasure(t.spark, root, _requests(t), SWEEP_AS_OF)
+    return _keys(upkeep.stored(t.spark, root), {"reads": "id", "sessions": "session_id", "hits": "id", "reviews": "read_id"})
+
+
 @query("ret5_orphaned_images", "reads", "watchlist", sql=_TODO + """
 , refs AS (SELECT plate_canonical, plate_image_sha256 AS sha256 FROM reads UNION SELECT plate_canonical, context_image_sha256 FROM reads WHERE context_image_sha256 IS NOT NULL)
 SELECT sha256 FROM refs GROUP BY sha256 HAVING bool_and(plate_canonical IN (SELECT plate_canonical FROM todo))""")

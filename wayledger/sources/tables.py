@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from . import rewrite
 
 # Explicit schemas: no inference pass, and timestamps without zone are read as UTC instants,
 # so time filters reach the Parquet scan.
@@ -34,19 +34,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def write_reads(reads: DataFrame, path: str, files_per_day: int = 8, mode: str = "overwrite") -> None:
+def write_reads(reads: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Reads by day, then by camera and time inside each file.
 
-    A day is spread over ``files_per_day`` tasks by plate pseudonym: no task writes a whole
-    day, a busy camera is split, and a plate's reads of a day sit in one file. ``overwrite``
-    replaces only the days present in ``reads``.
+    Days are dealt to tasks by their size: adaptive execution splits a large day and puts small ones
+    together (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), so no task writes a whole large
+    day and a small one is not cut into crumbs. ``overwrite`` replaces only the days present in
+    ``reads``.
     """
-    part = F.pmod(F.xxhash64("plate_hmac", "camera_id"), F.lit(files_per_day))
-    day = F.to_date("captured_at")
+    dated = reads.withColumn("capture_date", F.to_date("captured_at"))
     (
-        reads.withColumn("capture_date", day).withColumn("_file", part)
-        .repartition("capture_date", "_file").drop("_file")
-        .sortWithinPartitions("capture_date", "camera_id", F.col("captured_at").desc())
+        dated.hint("rebalance", F.col("capture_date")).sortWithinPartitions("capture_date", "camera_id", F.col("captured_at").desc())
         .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("capture_date").parquet(path)
     )
 
@@ -57,24 +55,9 @@ def read_reads(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def delete_rows(spark: SparkSession, path: str, gone: Column) -> int:
-    """Remove rows of a day-partitioned reads table; returns the number of days rewritten.
+    """Remove rows of a reads table; returns the number of files rewritten.
 
-    Only days that lose rows are read in full and written again; days that lose every row are
-    dropped. Kept rows are written aside first, so a failure leaves the table readable and the
-    call can be repeated.
+    Only files that lose rows are read and written again, and files added meanwhile stay.
     """
     hit = F.coalesce(gone, F.lit(False))
-    table = read_reads(spark, path)
-    days = [r[0] for r in table.filter(hit).select("capture_date").distinct().collect()]  # days only
-    if not days:
-        return 0
-    kept = materialise(table.filter(F.col("capture_date").isin(days) & ~hit))
-    left = {r[0] for r in kept.select("capture_date").distinct().collect()}
-    if left:
-        write_reads(kept.drop("capture_date"), path)
-    jvm = spark.sparkContext._jvm
-    for day in days:
-        if day not in left:
-            folder = jvm.org.apache.hadoop.fs.Path(f"{path}/capture_date={day}")
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(days)
+    return rewrite.change(spark, path, lambda t: t.filter(hit), lambda t: t.filter(~hit), ["capture_date"])

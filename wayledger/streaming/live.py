@@ -15,6 +15,7 @@ from ..operators import chain, ingest
 from ..operators.screening import screen
 from ..session import file_system
 from ..sources import events as ev
+from ..sources import rewrite
 
 
 BATCH = "micro_batch"
@@ -85,33 +86,16 @@ def compact(spark: SparkSession, events_path: str, keep: int = 1) -> int:
     """Merge the folders of finished batches into one; returns how many were merged.
 
     The ``keep`` newest folders stay, since a restart may apply them again. Run it between two runs
-    of the stream. The merged folder becomes visible after the old ones are gone; if that is cut
-    short, the next call ends it, so no event is seen twice or lost.
+    of the stream. What is cut short is finished by the next call, so no event is seen twice or lost.
     """
+    rewrite.recover(spark, events_path)
     system, root = file_system(spark, events_path)
-    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def finish(hidden: str, old: list[str]) -> None:
-        for name in old:
-            system.delete(path_of(f"{events_path}/{name}"), True)
-        system.rename(path_of(f"{events_path}/{hidden}/rows"), path_of(f"{events_path}/{BATCH}=merged-{hidden[1:]}"))
-        system.delete(path_of(f"{events_path}/{hidden}"), True)
-
-    listed = [(f.getModificationTime(), f.getPath().getName()) for f in system.listStatus(root)]
-    for _, name in listed:
-        if name.startswith("_merging-"):
-            if system.exists(path_of(f"{events_path}/{name}/old/_SUCCESS")):
-                finish(name, [r[0] for r in spark.read.text(f"{events_path}/{name}/old").collect()])  # folder names only
-            else:
-                system.delete(path_of(f"{events_path}/{name}"), True)
-    old = [name for _, name in sorted(x for x in listed if x[1].startswith(BATCH))][:-keep or None]
+    found = sorted((f.getModificationTime(), f.getPath().toString()) for f in system.listStatus(root) if f.getPath().getName().startswith(BATCH))
+    old = [name for _, name in found][:-keep or None]
     if len(old) < 2:
         return 0
-    hidden = f"_merging-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(*[f"{events_path}/{name}" for name in old])
-    rows.repartitionByRange("node_id", "sequence").sortWithinPartitions("node_id", "sequence").write.parquet(f"{events_path}/{hidden}/rows")
-    spark.createDataFrame([(name,) for name in old], "value string").coalesce(1).write.text(f"{events_path}/{hidden}/old")
-    finish(hidden, old)
+    rows = spark.read.option("basePath", events_path).parquet(*old).withColumn(BATCH, F.lit(f"merged-{uuid.uuid4().hex}"))
+    rewrite.replace(spark, events_path, old, rows.repartitionByRange("node_id", "sequence").sortWithinPartitions("node_id", "sequence"), [BATCH])
     return len(old)
 
 

@@ -152,3 +152,24 @@ def test_prune_keeps_unsent_and_referenced(spark):
     assert sorted(r.sequence for r in E.prune_events(events, NOW, keep_unsent=False).collect()) == [3]
     blobs = spark.createDataFrame([(a,), (b,), (c,)], "sha256 string")
     assert sorted(r.sha256 for r in E.prune_blobs(blobs, kept).collect()) == [b, c]
+
+
+def test_other_routes_are_permitted_and_logged(spark, hasher, tmp_path):
+    d = desk(spark, hasher, tmp_path)
+    admin, reader = gov.Principal("sita", "admin"), gov.Principal("hari", "operator")
+    d.tables["hits"] = spark.createDataFrame([(1, 3)], "id bigint, read_id bigint")
+    d.tables["blobs"] = spark.createDataFrame([("ab" * 32, b"x")], "sha256 string, data binary")
+    d.tables["nodes"] = spark.createDataFrame([("n1", "k1")], "node_id string, public_key string")
+    assert [(r.hit_id, r.actor) for r in d.acknowledge(reader, 1, "2024-02-01 00:00:00").collect()] == [(1, "hari")]
+    assert d.acknowledge(reader, 9, "2024-02-01 00:00:00").count() == 0
+    assert d.image(reader, "ab" * 32, "checking a read").count() == 1
+    nodes, conflicts = d.enrol(admin, spark.createDataFrame([("n2", "k2"), ("n1", "other")], "node_id string, public_key string"))
+    assert sorted(r.node_id for r in nodes.collect()) == ["n1", "n2"] and conflicts.count() == 1
+    for refused in (lambda: d.enrol(reader, d.tables["nodes"]), lambda: d.sweep(reader, "nowhere", "2024-02-01 00:00:00"),
+                    lambda: d.execute_erasure(reader, "nowhere", None, "2024-02-01 00:00:00")):
+        with pytest.raises(gov.PermissionDenied):
+            refused()
+    entries = log(spark, tmp_path)
+    assert sorted(e.action for e in entries) == ["hit.acknowledge", "hit.acknowledge", "node.enrol", "read.image"]
+    assert d.compact_log() > 1
+    assert sorted(map(str, log(spark, tmp_path))) == sorted(map(str, entries)) and d.compact_log() == 1

@@ -156,4 +156,4 @@ def open_anomalies(anomalies: DataFrame, limit: int = 500) -> DataFrame:
     first_read = F.element_at("read_ids", -1)
     return anomalies.filter("reviewed_at is null").orderBy(
         F.col("detected_at").desc(), "kind", first_read.desc()
-    ).limit(limit)
+    ).limit(min(limit, R.MAX_LIMIT))

@@ -311,9 +311,27 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.round(q, 9).alias("quality"))
 
 
-@query("crp2_selected_crops")
+_CLAMP = "least(greatest(({x} - {low}) / {span}, 0), 1)"
+
+
+@query("crp2_selected_crops", "track_frames", recursive=True, sql=_MEMBERS.split(",\nm AS")[0] + f"""
+, graded AS (SELECT camera_id || '/' || cast(track_id AS VARCHAR) AS track_id, frame_index,
+ ({_CLAMP.format(x='greatest(bx2 - bx1, 0)', low='24.0::DOUBLE', span='86.0::DOUBLE')} * 0.45::DOUBLE + ((value % 10) / 10) * 0.35::DOUBLE
+  + least(greatest(0.5::DOUBLE + (event_id % 50) / 100, 0), 1) * 0.20::DOUBLE)
+ * CASE WHEN bx1 < 76.8 OR by1 < 43.2 OR bx2 > 1843.2 OR by2 > 1036.8 THEN 0.55::DOUBLE ELSE 1.0::DOUBLE END
+ * {_CLAMP.format(x='greatest(bx2 - bx1, 0)', low='18.0::DOUBLE', span='10.0::DOUBLE')} AS quality FROM boxes),
+pools AS (SELECT track_id, list(struct_pack(f := cast(frame_index AS BIGINT), q := quality) ORDER BY frame_index) AS pool FROM graded WHERE quality >= 0.05::DOUBLE GROUP BY 1),
+rounds AS (
+ SELECT track_id, pool, cast([] AS STRUCT(f BIGINT, q DOUBLE)[]) AS chosen, 0 AS n FROM pools WHERE len(pool) > 8
+ UNION ALL
+ SELECT track_id, list_filter(pool, lambda c: c.f <> best.f), list_append(chosen, struct_pack(f := best.f, q := best.q)), n + 1 FROM (
+  SELECT *, list_sort(list_transform(pool, lambda c: struct_pack(v := -list_reduce(list_prepend(c.q, list_transform(chosen,
+   lambda s: CASE WHEN abs(s.f - c.f) < 6 THEN 1.0::DOUBLE - 0.6::DOUBLE * (1.0::DOUBLE - abs(s.f - c.f) / 6.0::DOUBLE) ELSE 1.0::DOUBLE END)),
+   lambda x, y: x * y), f := c.f, q := c.q)))[1] AS best FROM rounds WHERE n < 8) r)
+SELECT track_id, c.f AS frame_index, c.q AS quality FROM (
+ SELECT track_id, unnest(pool) AS c FROM pools WHERE len(pool) <= 8 UNION ALL SELECT track_id, unnest(chosen) FROM rounds WHERE n = 8) t""")
 def _(t):
-    """Greedy choice has no plain SQL form; a test compares it with a sequential model."""
+    """The greedy choice, round by round."""
     f = t.frames
     q = K.crop_quality(F.col("box"), (F.col("value") % 10) / 10, F.lit(0.5) + (F.col("event_id") % 50) / 100, F.lit(1920.0), F.lit(1080.0))
     rows = f.select(F.concat_ws("/", "camera_id", F.col("track_id").cast("string")).alias("track_id"), "frame_index", q.alias("quality"))

@@ -238,10 +238,20 @@ class Investigator:
         except InvalidSearch as exc:
             self._log(query_id, who, action, target, stated, exc.code, 0)
             raise
-        # Results are pages of at most MAX_LIMIT rows, so they are kept for the count and the caller.
-        kept = rows.cache()
-        self._log(query_id, who, action, target, stated, "ok", kept.count())
-        return kept
+        # Results are pages of at most MAX_LIMIT rows: taken once, for the count and the caller, and left to neither cache.
+        taken = rows.limit(R.MAX_LIMIT).collect()
+        self._log(query_id, who, action, target, stated, "ok", len(taken))
+        return self.spark.createDataFrame(taken, rows.schema)
+
+    def compact_log(self) -> int:
+        """Merge the log's small files into one; returns how many were merged. Entries written meanwhile stay."""
+        from ..sources import rewrite
+
+        log = self.spark.read.schema(gov.LOG_SCHEMA).parquet(self.audit_path)
+        small = [r[0] for r in log.select("_metadata.file_path").distinct().collect()]  # file names only
+        if len(small) > 1:
+            rewrite.replace(self.spark, self.audit_path, small, self.spark.read.schema(gov.LOG_SCHEMA).parquet(*small).coalesce(1))
+        return len(small)
 
     def _key(self, plate: str) -> str:
         one = with_canonical(self.spark.createDataFrame([(plate,)], "p string"), "p")
@@ -315,6 +325,73 @@ class Investigator:
         self._log(uuid.uuid4().hex, who, "watchlist.write", "watchlist", stated, "ok", accepted.count())
         return accepted, rejected, past
 
+    def hit_list(self, who, **options) -> DataFrame:
+        from ..operators.screening import hit_list
+
+        t = self.tables
+        return self._run(who, "watchlist.read", None, "hits", lambda: hit_list(t["hits"], t["reads"], t["watchlist"], **options))
+
+    def acknowledge(self, who, hit_id: int, as_of) -> DataFrame:
+        """Acknowledgement row to store."""
+        stated = gov.authorise(who, "hit.acknowledge", None)
+        known = self.tables["hits"].filter(F.col("id") == hit_id).limit(1).count()
+        self._log(uuid.uuid4().hex, who, "hit.acknowledge", f"hit={hit_id}", stated, "ok" if known else "not_found", known)
+        row = self.spark.createDataFrame([(hit_id, who.username)] * known, "hit_id bigint, actor string")
+        return row.withColumn("at", at(as_of))
+
+    def anomalies(self, who, **options) -> DataFrame:
+        from ..operators.anomalies import open_anomalies
+
+        return self._run(who, "read.live", None, "anomalies", lambda: open_anomalies(self.tables["anomalies"], **options))
+
+    def reviews(self, who, **options) -> DataFrame:
+        t = self.tables
+        return self._run(who, "review.read", None, "reviews", lambda: review_queue(t["reviews"], t["reads"], **options))
+
+    def submit_reviews(self, who, submissions: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+        """``(items, rejected submissions)``; submissions have ``read_id, confirmed, corrected_text``."""
+        stated = gov.authorise(who, "review.write", None)
+        signed = submissions.withColumn("reviewer", F.lit(who.username)).withColumn("at", at(as_of))
+        items, rejected = apply_reviews(self.tables["reviews"], signed)
+        self._log(uuid.uuid4().hex, who, "review.write", "reviews", stated, "ok", submissions.count())
+        return items, rejected
+
+    def image(self, who, sha256: str, reason: str) -> DataFrame:
+        """The stored image of a digest, if any."""
+        return self._run(who, "read.image", reason, f"image={sha256[:12]}",
+                         lambda: self.tables["blobs"].filter(F.col("sha256") == sha256).limit(1))
+
+    def enrol(self, who, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(nodes, conflicts)`` after an enrolment."""
+        from ..operators.ingest import enrol
+
+        stated = gov.authorise(who, "node.enrol", None)
+        nodes, conflicts = enrol(records, self.tables["nodes"])
+        self._log(uuid.uuid4().hex, who, "node.enrol", "nodes", stated, "ok", records.count())
+        return nodes, conflicts
+
+    def sweep(self, who, root: str, as_of) -> dict[str, int]:
+        """Delete what has expired from the tables stored below ``root``."""
+        from ..operators import upkeep
+
+        stated = gov.authorise(who, "admin.retention", None)
+        query_id = uuid.uuid4().hex
+        self._log(query_id, who, "admin.retention", "sweep", stated)
+        rewritten = upkeep.apply_sweep(self.spark, root, as_of)
+        self._log(query_id, who, "admin.retention", "sweep", stated, "ok", sum(rewritten.values()))
+        return rewritten
+
+    def execute_erasure(self, who, root: str, requests: DataFrame, as_of) -> DataFrame:
+        """Carry out the pending requests on the tables stored below ``root``; returns them as done."""
+        from ..operators import upkeep
+
+        stated = gov.authorise(who, "admin.retention", None)
+        query_id = uuid.uuid4().hex
+        self._log(query_id, who, "admin.retention", "erasure", stated)
+        done = upkeep.apply_erasure(self.spark, root, requests, as_of)
+        self._log(query_id, who, "admin.retention", "erasure", stated, "ok", done.count())
+        return done
+
     def audit_trail(self, who, **options) -> DataFrame:
         gov.authorise(who, "audit.read", None)
         log = self.spark.read.schema(gov.LOG_SCHEMA).parquet(self.audit_path)

@@ -39,35 +39,42 @@ _ENDINGS = {("latin", "m"): ("on", "ert", "in"), ("latin", "f"): ("ina", "ella",
 _NAME_WORD = r"[\p{Lu}\p{Lo}][\p{L}\p{M}'’]+(?:-\p{Lu}[\p{L}\p{M}'’]+)?"
 _TITLES = "|".join(sorted((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES), key=len, reverse=True))
 _GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
-_EMAIL = r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"
-_IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
+# Every pattern fails at its first letter nearly everywhere: words are entered at their beginning only
+# and not given back, and what begins with a digit or a capital looks for that first.
+_EMAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+"
+_IPV4 = r"(?<![\d.])(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"
 _CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 _PHONE = (r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,5}(?:[ .\-]?\d{2,5}){1,4}(?!\d)"
           r"|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)")
 _SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _ACCOUNT = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
-_SECRET = (r"(?<![\p{L}\d])[0-9a-f]{32,}(?![\p{L}\d])|(?<![\p{L}\d])(?:sk|pk|ghp|AKIA)[_\-]?[A-Za-z0-9]{16,}"
-           r"|(?<=(?:token|secret|passwd|password|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9+/_\-]{8,}")
-_NAME = rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}|(?<![\p{{L}}])(?:{_GIVEN})(?: {_NAME_WORD}){{1,2}}"
+_SECRET = r"(?<![\p{L}\d])(?=[0-9a-f])[0-9a-f]{32,}+(?![\p{L}\d])|(?<![\p{L}\d])(?:sk|pk|ghp|AKIA)[_\-]?[A-Za-z0-9]{16,}"
+_LABELS = ("token", "secret", "passwd", "password", "api_key", "apikey")
+_LABELLED = rf"""(?:{"|".join(_LABELS)}) ?[=:] ?["']?[A-Za-z0-9+/_\-]{{8,}}"""
+_CALLED = rf"(?<!\p{{L}})(?=[\p{{Lu}}\p{{Lo}}г])(?:(?:{_TITLES})\.? |(?:{_GIVEN}) )"
+_NAME = (rf"(?<!\p{{L}})(?=[\p{{Lu}}\p{{Lo}}г])(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
+         rf"|(?:{_GIVEN})(?: {_NAME_WORD}){{1,2}})")
 #: Kinds in the order in which they are tried at a place.
-KINDS = {"email": _EMAIL, "secret": _SECRET, "ip": _IPV4, "social": _SOCIAL, "card": _CARD, "phone": _PHONE, "account": _ACCOUNT, "name": _NAME}
+KINDS = {"email": _EMAIL, "labelled": _LABELLED, "secret": _SECRET, "ip": _IPV4, "social": _SOCIAL, "card": _CARD, "phone": _PHONE,
+         "account": _ACCOUNT, "name": _NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What every entity has: texts without one of these are not searched.
-_HINT = rf"[\d@]|(?:token|secret|passw|api_?key)|(?:{_TITLES})\.? |(?:{_GIVEN}) "
+#: Letters of which every entity without a digit has some; all found by plain search.
+_SIGNS = ("@", *_LABELS, "sk_", "sk-", "pk_", "pk-", "ghp_", "AKIA")
 #: After so many rounds a replacement is made longer to be distinct.
 ROUNDS_IN_FORM = 6
 
 
 def has_any(text: Column) -> Column:
-    return text.rlike(ANY)
+    """Whether a text has an entity. Most texts are told apart by cheap signs, and only the rest is searched."""
+    sign = text.rlike("[0-9]")
+    for found in _SIGNS:
+        sign = sign | F.contains(text, F.lit(found))
+    return F.coalesce((sign | text.rlike(_CALLED)) & text.rlike(ANY), F.lit(False))
 
 
 def kind_of(value: Column) -> Column:
-    """The kind of a found entity: the first whose pattern is the whole of it.
-
-    Only a secret behind its label needs more than itself to be found, so the rest are secrets.
-    """
-    kind = F.lit("secret")
+    """The kind of a found entity: the first whose pattern is the whole of it."""
+    kind = F.lit("name")
     for name, pattern in list(KINDS.items())[::-1]:
         kind = F.when(value.rlike(rf"^(?:{pattern})$"), name).otherwise(kind)
     return kind
@@ -79,7 +86,8 @@ def _script(word: Column) -> Column:
 
 def pieces(kind: Column, value: Column) -> Column:
     """The pieces of an entity in order: (kind, text, keep). Names fall into words, so that a family
-    name alone is replaced as in the whole name; a title is kept and tells the gender."""
+    name alone is replaced as in the whole name; a title is kept and tells the gender. The label of a
+    secret is kept, too."""
     words = F.split(value, " ")
     male, female = (F.array(*[F.lit(t) for t in ts]) for ts in (MALE_TITLES, FEMALE_TITLES))
     bare = lambda w: F.rtrim(w, F.lit("."))
@@ -97,7 +105,10 @@ def pieces(kind: Column, value: Column) -> Column:
         sort = F.when(place < start, "title").when(is_given, F.concat_ws("_", F.lit("given"), gender, _script(w))).otherwise("family")
         return F.struct(sort.alias("kind"), w.alias("text"), (place < start).alias("keep"))
 
-    return F.when(kind == "name", F.transform(words, named)).otherwise(
+    secret = F.regexp_extract(value, r"[A-Za-z0-9+/_\-]+$", 0)
+    labelled = F.array(F.struct(F.lit("label").alias("kind"), F.substring(value, F.lit(1), F.length(value) - F.length(secret)).alias("text"), F.lit(True).alias("keep")),
+                       F.struct(F.lit("secret").alias("kind"), secret.alias("text"), F.lit(False).alias("keep")))
+    return F.when(kind == "name", F.transform(words, named)).when(kind == "labelled", labelled).otherwise(
         F.array(F.struct(kind.alias("kind"), value.alias("text"), F.lit(False).alias("keep"))))
 
 
@@ -189,10 +200,12 @@ def assign(found: DataFrame, hasher: PlateHasher) -> DataFrame:
     comes first in order. Refused pieces go to the next round. Pieces of one kind and of all kinds
     thus never share a replacement. A round is written to the shared folder.
     """
+    # Few bytes, much work for each: spread by number, not by size.
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     real = materialise(found.select("kind", "text").distinct())
     given, open_pieces, round_no = None, real, 0
     while True:
-        offered = open_pieces.withColumn("surrogate", surrogate(hasher, F.col("kind"), F.col("text"), round_no)) \
+        offered = open_pieces.repartition(parts, "text").withColumn("surrogate", surrogate(hasher, F.col("kind"), F.col("text"), round_no)) \
             .join(real.select(F.col("text").alias("surrogate")).distinct(), "surrogate", "left_anti")
         if given is not None:
             offered = offered.join(given.select("surrogate"), "surrogate", "left_anti")
@@ -215,7 +228,7 @@ def replaced(docs: DataFrame, hasher: PlateHasher) -> DataFrame:
     """
     text = F.col("text").cast("string")
     rows = wrapped(docs, text=text)
-    touched = F.coalesce(F.col("text").rlike(_HINT) & has_any(F.col("text")), F.lit(False))
+    touched = has_any(F.col("text"))
     with_any = rows.where(touched).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     matches = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
     entities = materialise(
@@ -226,9 +239,9 @@ def replaced(docs: DataFrame, hasher: PlateHasher) -> DataFrame:
              .select("value", F.col("kind").alias("whole"), "at", "piece.*"))
     parts = materialise(parts)
     names = assign(parts.where("not keep").select("kind", "text"), hasher)
-    shown = (parts.join(names, ["kind", "text"], "left").groupBy("whole", "value")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("surrogate", "text").alias("shown")))),
-                                           lambda x: x["shown"]), " ").alias("surrogate")))
+    in_order = lambda: F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("surrogate", "text").alias("shown")))), lambda x: x["shown"])
+    shown = (parts.join(names, ["kind", "text"], "left").groupBy("whole", "value").agg(in_order().alias("all"))
+             .withColumn("surrogate", F.when(F.col("whole") == "name", F.array_join("all", " ")).otherwise(F.array_join("all", ""))))
     by_text = (entities.join(shown, (entities["value"] == shown["value"]) & (entities["kind"] == shown["whole"])).groupBy("digest")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates")))
     between = F.split(F.col("text"), ANY, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ... import refdata as R
@@ -55,10 +56,12 @@ def _(t):
 
 
 @query("src2_active_nodes", "reads", "nodes", sql="""
-SELECT r.node_id, coalesce(CASE WHEN NOT n.active THEN 'node is deactivated' END, 'admitted') AS status, count(*) AS n
-FROM reads r JOIN nodes n USING (node_id) GROUP BY ALL""")
+SELECT r.node_id, CASE WHEN n.node_id IS NULL THEN 'node is not enrolled' WHEN NOT n.active THEN 'node is deactivated' ELSE 'admitted' END AS status, count(*) AS n
+FROM (SELECT CASE WHEN id % 50 = 7 THEN 'NODE-unknown' ELSE node_id END AS node_id FROM reads) r LEFT JOIN nodes n ON r.node_id = n.node_id GROUP BY ALL""")
 def _(t):
-    ok, refused = ev.from_active_nodes(t.reads.select("node_id", "id"), t.nodes)
+    """One read in fifty comes from a node that nobody enrolled."""
+    claimed = F.when(F.col("id") % 50 == 7, "NODE-unknown").otherwise(F.col("node_id"))
+    ok, refused = ev.from_active_nodes(t.reads.select(claimed.alias("node_id"), "id"), t.nodes)
     both = ok.select("node_id", F.lit("admitted").alias("status")).unionByName(refused.select("node_id", F.col("error").alias("status")))
     return both.groupBy("node_id", "status").agg(F.count("*").alias("n"))
 
@@ -154,15 +157,22 @@ def _(t):
 
 @query("snk2_reads_layout", "reads", sql="""
 SELECT cast(cast(captured_at as date) as string) AS capture_date, count(*) AS n_reads, count(DISTINCT camera_id) AS n_cameras,
- min(captured_at) AS first_at, max(captured_at) AS last_at FROM reads GROUP BY 1""")
+ min(captured_at) AS first_at, max(captured_at) AS last_at, 0 AS n_misfiled, 0 AS n_unsorted FROM reads GROUP BY 1""")
 def _(t):
+    """Rows per day, and how many lie in another day's folder or out of order in their file."""
     path = shared_dir(t.spark) + "/reads"
     stored = t.keyed("reads")
     tables.write_reads(stored, path)
-    back = tables.read_reads(t.spark, path)
+    back = tables.read_reads(t.spark, path).select("*", "_metadata.file_path", "_metadata.row_index")
+    before = F.lag(F.struct("camera_id", "captured_at")).over(Window.partitionBy("file_path").orderBy("row_index"))
+    back = back.withColumn("before", before)
+    unsorted = (F.col("before.camera_id") > F.col("camera_id")) | (
+        (F.col("before.camera_id") == F.col("camera_id")) & (F.col("before.captured_at") < F.col("captured_at")))
     return back.groupBy(F.col("capture_date").cast("string").alias("capture_date")).agg(
         F.count("*").alias("n_reads"), F.count_distinct("camera_id").alias("n_cameras"),
-        F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"))
+        F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"),
+        F.count_if(F.col("capture_date") != F.to_date("captured_at")).cast("int").alias("n_misfiled"),
+        F.count_if(unsorted).cast("int").alias("n_unsorted"))
 
 
 @query("snk3_store_blobs", sql="""

@@ -193,10 +193,13 @@ def _(t):
 
 
 @query("ret5_orphaned_images", "reads", "watchlist", sql=_TODO + """
-, refs AS (SELECT plate_canonical, plate_image_sha256 AS sha256 FROM reads UNION SELECT plate_canonical, context_image_sha256 FROM reads WHERE context_image_sha256 IS NOT NULL)
+, refs AS (SELECT plate_canonical, CASE WHEN id % 3 = 0 THEN sha256(plate_canonical) ELSE plate_image_sha256 END AS sha256 FROM reads
+ UNION SELECT plate_canonical, context_image_sha256 FROM reads WHERE context_image_sha256 IS NOT NULL)
 SELECT sha256 FROM refs GROUP BY sha256 HAVING bool_and(plate_canonical IN (SELECT plate_canonical FROM todo))""")
 def _(t):
-    return E.orphaned_images(t.keyed("reads"), _requests(t))
+    """Every third read has an image that only reads of its plate share."""
+    own = F.when(F.col("id") % 3 == 0, F.sha2(F.encode("plate_canonical", "UTF-8"), 256)).otherwise(F.col("plate_image_sha256"))
+    return E.orphaned_images(t.keyed("reads").withColumn("plate_image_sha256", own), _requests(t))
 
 
 _PRUNE_AS_OF = "2024-01-25 00:00:00"

@@ -12,7 +12,7 @@ from ...operators import fusion as U
 from ...operators import zones as Z
 from ...session import shared_dir
 from ...sources.tables import SCHEMAS
-from ...streaming import live
+from ...streaming import job, live
 from .. import adapters as A
 from . import intake, vision
 from .registry import hmac_sql, query, values_sql
@@ -140,6 +140,35 @@ def _stream(t, name: str):
     return t.spark.sql(A.SOURCES[name](A.SPARK), events=_event_stream(t))
 
 
+def _delivered(t) -> str:
+    """Signed events as JSON batches of a node, at most 100 events each."""
+    event = F.struct("arrival", "node_id", F.col("sequence").cast("string").alias("sequence"), "captured_at", "prev_hash", "payload_hash",
+                     "signature", "payload", "signature_ok")
+    rows = t.signed_events.withColumn("batch_id", F.concat_ws("/", "node_id", F.floor(F.col("sequence") / 100).cast("string")))
+    batches = rows.withColumn("arrival", F.col("sequence")).groupBy("batch_id", "node_id").agg(
+        F.max("received_at").alias("received_at"), F.min("arrival").alias("arrival"), F.array_sort(F.collect_list(event)).alias("events"))
+    path = shared_dir(t.spark) + "/inbox"
+    batches.select(F.to_json(F.struct("batch_id", "node_id", "received_at", "arrival", "events")).alias("value")).repartition(3).write.text(path)
+    return path
+
+
+@query("ing11_stream_job", "signed_events", "watchlist", sql=intake._READ_SQL + f"""
+SELECT s.*, captured_at + to_days(365) AS expires_at, {hmac_sql('plate_canonical')} AS plate_hmac,
+ CASE WHEN provisional THEN (SELECT min(f.sequence) FROM stored f WHERE f.node_id = s.node_id AND f.track_id = s.track_id AND NOT f.provisional AND f.sequence > s.sequence) END AS superseded_by,
+ CASE WHEN verified THEN (SELECT count(*) FROM watchlist w WHERE w.plate_canonical = s.plate_canonical AND w.active AND (w.expires_at IS NULL OR w.expires_at > TIMESTAMP '{A.AS_OF}')) ELSE 0 END AS n_hits
+FROM stored s""")
+def _(t):
+    """Reads of the whole job, streamed in several micro-batches and then again under a new checkpoint, with their hits."""
+    inbox, root = _delivered(t), shared_dir(t.spark)
+    for begin in ("first", "second"):
+        job.start(t.spark, inbox, root, f"{root}/{begin}", t.hasher, watchlist=t.keyed("watchlist"), as_of=A.AS_OF, files_per_batch=1).awaitTermination()
+    have = job.tables(t.spark, root, t.hasher)
+    hits = have["hits"].groupBy(F.col("read_id").alias("id")).agg(F.count("*").alias("n_hits"))
+    return have["reads"].join(hits, "id", "left").select(
+        "node_id", "sequence", "captured_at", "verified", "camera_id", "track_id", "plate_canonical", "confidence", "score", "n_frames",
+        "provisional", "expires_at", "plate_hmac", "superseded_by", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"))
+
+
 def _in_slices(t, rows, by, n: int) -> str:
     """Rows written as ``n`` files one after the other, so that a stream takes them in this order."""
     path = shared_dir(t.spark) + "/slices"

@@ -64,20 +64,20 @@ def apply_batch(
             broken = batch.filter(F.col("_corrupt_record").isNotNull()).select(
                 F.col("batch_id"), F.col("node_id").alias("batch_node"), F.lit(None).cast("string").alias("sequence"),
                 F.lit("not json").alias("error"))
-            _own_folder(refused.unionByName(broken), batch_key, rejects_path)
+            own_folder(refused.unionByName(broken), batch_key, rejects_path)
         stored = stored_events(spark, events_path)
         if stored is not None:
             low, high = good.agg(F.min("sequence"), F.max("sequence")).first()
             stored = stored.filter(F.col("sequence").between(low, high) & (F.col(BATCH) != batch_key))
         fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node")
-        _own_folder(fresh.sortWithinPartitions("node_id", "sequence"), batch_key, events_path)
+        own_folder(fresh.sortWithinPartitions("node_id", "sequence"), batch_key, events_path)
     finally:
         batch.unpersist()
     if on_new is not None:
         on_new(spark.read.parquet(events_path).filter(F.col(BATCH) == batch_key))
 
 
-def _own_folder(rows: DataFrame, batch_key: str, path: str) -> None:
+def own_folder(rows: DataFrame, batch_key: str, path: str) -> None:
     """Replace the folder of a batch; a batch without rows leaves an empty one."""
     rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_key}")
 
@@ -125,7 +125,7 @@ def start_rollup(spark: SparkSession, reads: DataFrame, reads_path: str, rollup_
     run = run_of(spark, checkpoint)
 
     def refresh(batch: DataFrame, number: int) -> None:
-        _own_folder(batch.withColumn("day", F.to_date("captured_at")).sortWithinPartitions("day"), f"{run}-{number}", reads_path)
+        own_folder(batch.withColumn("day", F.to_date("captured_at")).sortWithinPartitions("day"), f"{run}-{number}", reads_path)
         stored = spark.read.parquet(reads_path)
         touched = stored.filter(F.col(BATCH) == f"{run}-{number}").select("day").distinct()
         rows = hourly_rollup(stored.join(touched, "day", "left_semi"))

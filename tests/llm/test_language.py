@@ -42,3 +42,12 @@ def test_nothing_learned_and_nothing_to_tell(spark):
     assert language.classify(docs.limit(0), language.learn(docs)).count() == 0
     one = language.learn(docs.where("lang = 'de'"))
     assert {r.lang_pred for r in language.classify(docs, one).collect()} == {"und", "de"}
+
+
+def test_short_clean_texts_are_decided(spark):
+    docs = documents(spark)
+    model = language.learn(docs)
+    short = documents(spark, [(k, prose(lang, 3 + k % 3, 5000 + k), lang, "s") for k in range(40) for lang in WORDS])
+    out = language.classify(short, model, lang=short["lang"]).collect()
+    assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.9
+    assert sum(r.accepted for r in out) / len(out) > 0.97

@@ -26,6 +26,10 @@ SAMPLE_CHARS = 16_000
 DICTIONARY_BYTES = 65_536
 PIECE_BYTES = 2_048
 LEVEL = 6
+#: Texts below so many bytes are weighed by their runs of so many words as well.
+SHORT_BYTES = 512
+SHORT_RUNS = (1, 2, 3)
+REPEATED_BYTES = 64
 #: A decision counts if the best saves so much of the second's size.
 MIN_MARGIN = 0.004
 #: Bytes by which a language must be behind to be e times less likely.
@@ -79,12 +83,26 @@ def compressors(model: Model) -> list[tuple[str, zstandard.ZstdCompressor]]:
     return made
 
 
+def pieces_of(folded: str) -> list[bytes]:
+    """A text cut into pieces. A short one is weighed by its runs of a few words as well: whole bytes
+    tell little about it, and the sum over its runs tells more.
+
+    Runs are repeated: a few bytes alone would be stored as they are, dictionary or not, while the
+    repeats cost the same with every dictionary and leave what the first copy saves to be seen.
+    """
+    data = f" {folded} ".encode("utf-8", "surrogatepass")
+    if len(data) >= SHORT_BYTES:
+        return [data[k:k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
+    words = data.split()
+    runs = [data, *(b" " + b" ".join(words[k:k + n]) + b" " for n in SHORT_RUNS for k in range(max(len(words) - n + 1, 0)))]
+    return [run * (1 + -(-REPEATED_BYTES // len(run))) for run in runs]
+
+
 def decide(text: str | None, made: list[tuple[str, zstandard.ZstdCompressor]], min_margin: float = MIN_MARGIN) -> tuple[str, float, float, bool]:
     """(language, score, margin, accepted). Ties go to the language with more labelled texts and are rejected."""
     if not made or text is None or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0, False
-    data = fold(text).encode("utf-8", "surrogatepass")
-    pieces = [data[k:k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)]
+    pieces = pieces_of(fold(text))
     sizes = [sum(len(c.compress(p)) for p in pieces) for _, c in made]
     best = min(sizes)
     winner = sizes.index(best)

@@ -36,14 +36,22 @@ def _files_below(system, folder) -> list[str]:
 def _finish(spark: SparkSession, table: str, hidden: str) -> None:
     """Delete the files that are replaced, move the new ones in, remove the folder. May be repeated."""
     system, rows = file_system(spark, f"{hidden}/rows")
+    folders = {}
     for row in spark.read.text(f"{hidden}/old").collect():  # file names only
-        system.delete(_path(spark, row[0]), True)
+        old = _path(spark, row[0])
+        system.delete(old, True)
+        folders[old.getParent().toString()] = old.getParent()
     if system.exists(rows):
         top = system.getFileStatus(rows).getPath().toString()
         for name in _files_below(system, rows):
             target = _path(spark, f"{table}{name[len(top):]}")
             system.mkdirs(target.getParent())
             system.rename(_path(spark, name), target)
+    top = system.makeQualified(_path(spark, table)).toString()
+    for name, folder in folders.items():
+        # A partition that has lost its last file goes; one that others write to is not empty.
+        if system.makeQualified(folder).toString() != top and system.exists(folder) and not system.listStatus(folder):
+            system.delete(folder, False)
     system.delete(_path(spark, hidden), True)
 
 

@@ -185,11 +185,12 @@ def _mark(marked: DataFrame, index: Index, last: bool) -> DataFrame:
 
     The last block does not send the texts back.
     """
-    shared = marked.sparkSession.sparkContext.broadcast(index)
+    # Plain values only: a worker need not have this module.
+    shared = marked.sparkSession.sparkContext.broadcast(vars(index))
     out = [f for f in marked.schema.fields if not (last and f.name == "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = shared.value
+        here = Index(**shared.value)
         vocabulary = _Ids(here.vocabulary)
         for batch in batches:
             names = batch.schema.names

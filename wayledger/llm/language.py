@@ -118,11 +118,12 @@ def classify(docs: DataFrame, model: Model, min_margin: float = MIN_MARGIN, **ke
     Only the whole text decides. Null texts and texts without a letter are ``und``, with score 0, and
     not accepted; so is all if nothing was learned. No row is moved.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values only: a worker need not have this module.
+    shared = docs.sparkSession.sparkContext.broadcast(model.dictionaries)
     names = [*keep, "lang_pred", "score", "margin", "accepted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = compressors(shared.value)
+        made = compressors(Model(shared.value))
         for batch in batches:
             lang, score, margin, accepted = zip(*(decide(t.as_py(), made, min_margin) for t in batch.column(0)), strict=True) \
                 if batch.num_rows else ((),) * 4

@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise
-from .common import wrapped
+from .common import one_row_each
 from .components import components
 
 SEED = 42
@@ -131,9 +131,4 @@ def representatives(docs: DataFrame, shingle: int = 3, segment_bits: int = 2) ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest"))
     by_fp = marks.groupBy("fp").agg(first.alias("first")).join(_roots(marks, segment_bits), "fp")
     kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    rows = wrapped(docs, none=F.col("doc_id").isNull(), id=F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), digest=digest,
-                   # Of repeats that differ in other columns the first in this order stays.
-                   rest=F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    same = Window.partitionBy("none", "id", "digest").orderBy("rest")
-    return (rows.join(kept, ["none", "id", "digest"], "left_semi")
-            .withColumn("place", F.row_number().over(same)).where("place = 1").select("row.*"))
+    return one_row_each(docs, kept)

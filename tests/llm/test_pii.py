@@ -91,3 +91,21 @@ def test_main_path_has_no_python(spark):
     docs = documents(spark, [(k, prose("en", 20, k) + f" a{k}@b.example.com", "en", "a") for k in range(5)])
     plan = pii.replaced(docs, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_later_mentions_and_labels_of_any_case(spark):
+    rows = [(1, "Mr. John Smith met Anna Weber. Smith said: 'Smith' and Smith's car, Weber-led; Anna left Smithson, Johnny and Annam.", "en", "a"),
+            (2, "Mrs. Jane O'Neil wrote. O'Neil's note, \"O'Neil\"", "en", "a"), (3, "Smith and Anna, without a name", "en", "a"),
+            (4, "Password: hunterhunter", "en", "a"), (5, "API_KEY=abcdefghijkl", "en", "a"), (6, "Sir Paul Brown's house; Brown slept", "en", "a"),
+            (7, "г-жа Анна Каренина. Каренина и Анна", "ru", "a")]
+    by = {r.doc_id: r.text for r in pii.replaced(documents(spark, rows), KEY).select("row.doc_id", "text").collect()}
+    first = re.fullmatch(r"Mr\. (\w+) (\w+) met (\w+) (\w+)\. (\w+) said: '(\w+)' and (\w+)'s car, (\w+)-led; (\w+) left Smithson, Johnny and Annam\.", by[1])
+    john, smith, anna, weber = first.groups()[:4]
+    assert first.groups()[4:] == (smith, smith, smith, weber, anna) and not {john, smith, anna, weber} & {"John", "Smith", "Anna", "Weber"}
+    second = re.fullmatch(r"Mrs\. (\w+) (\w'\w+) wrote\. (\w'\w+)'s note, \"(\w'\w+)\"", by[2])
+    assert second[2] == second[3] == second[4] != "O'Neil"
+    assert by[3] == rows[2][1]
+    assert re.fullmatch("Password: [a-z]{12}", by[4]) and "hunter" not in by[4]
+    assert re.fullmatch("API_KEY=[a-z]{12}", by[5]) and by[5] != rows[4][1]
+    assert "Brown" not in by[6] and "Paul" not in by[6]
+    assert "Каренина" not in by[7] and len(set(by[7].replace(".", "").split())) == 4

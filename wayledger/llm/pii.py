@@ -3,7 +3,8 @@
 One pattern finds e-mail and network addresses, phone, card and account numbers, secrets and names.
 Every distinct piece of them gets a keyed replacement of its own kind and form; rounds of checks keep
 replacements distinct from each other and from everything real. The same piece has the same
-replacement everywhere, so what referred to one person still does.
+replacement everywhere, so what referred to one person still does: a word of a name is replaced
+wherever it stands in a text that has the name, also alone.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ _SOCIAL = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 _ACCOUNT = r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])"
 _SECRET = r"(?<![\p{L}\d])(?=[0-9a-f])[0-9a-f]{32,}+(?![\p{L}\d])|(?<![\p{L}\d])(?:sk|pk|ghp|AKIA)[_\-]?[A-Za-z0-9]{16,}"
 _LABELS = ("token", "secret", "passwd", "password", "api_key", "apikey")
-_LABELLED = rf"""(?:{"|".join(_LABELS)}) ?[=:] ?["']?[A-Za-z0-9+/_\-]{{8,}}"""
+_LABELLED = rf"""(?i:{"|".join(_LABELS)}) ?[=:] ?["']?[A-Za-z0-9+/_\-]{{8,}}"""
 _CALLED = rf"(?<!\p{{L}})(?=[\p{{Lu}}\p{{Lo}}г])(?:(?:{_TITLES})\.? |(?:{_GIVEN}) )"
 _NAME = (rf"(?<!\p{{L}})(?=[\p{{Lu}}\p{{Lo}}г])(?:(?:{_TITLES})\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
          rf"|(?:{_GIVEN})(?: {_NAME_WORD}){{1,2}})")
@@ -59,7 +60,13 @@ KINDS = {"email": _EMAIL, "labelled": _LABELLED, "secret": _SECRET, "ip": _IPV4,
          "account": _ACCOUNT, "name": _NAME}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Letters of which every entity without a digit has some; all found by plain search.
-_SIGNS = ("@", *_LABELS, "sk_", "sk-", "pk_", "pk-", "ghp_", "AKIA")
+_SIGNS = ("@", "sk_", "sk-", "pk_", "pk-", "ghp_", "AKIA")
+#: A run of letters, with single hyphens and apostrophes between them, or a run of anything else.
+_RUN = r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*+|[^\p{L}\p{M}]+"
+_PART = r"['’\-]|[^'’\-]+"
+_JOINED = r"['’\-]"
+#: What an apostrophe adds to a name, and one at its end.
+_SUFFIX = r"['’]\p{L}{0,2}$"
 #: After so many rounds a replacement is made longer to be distinct.
 ROUNDS_IN_FORM = 6
 
@@ -69,6 +76,8 @@ def has_any(text: Column) -> Column:
     sign = text.rlike("[0-9]")
     for found in _SIGNS:
         sign = sign | F.contains(text, F.lit(found))
+    for label in _LABELS:
+        sign = sign | F.contains(F.lower(text), F.lit(label))
     return F.coalesce((sign | text.rlike(_CALLED)) & text.rlike(ANY), F.lit(False))
 
 
@@ -221,6 +230,9 @@ def assign(found: DataFrame, hasher: PlateHasher) -> DataFrame:
 def replaced(docs: DataFrame, hasher: PlateHasher) -> DataFrame:
     """(row, text, n_entities): every row, its text with surrogates.
 
+    ``n_entities`` counts what the pattern finds. Words of names that stand alone elsewhere in the
+    same text are replaced as in the name, and not counted.
+
     ``row`` holds all columns of the input. Texts without an entity pass as they are and are not
     moved. The others are searched once per distinct text; entities travel without their texts. Null
     and empty texts stay so. Repeated rows are replaced alike. The same key gives the same result
@@ -244,7 +256,25 @@ def replaced(docs: DataFrame, hasher: PlateHasher) -> DataFrame:
              .withColumn("surrogate", F.when(F.col("whole") == "name", F.array_join("all", " ")).otherwise(F.array_join("all", ""))))
     by_text = (entities.join(shown, (entities["value"] == shown["value"]) & (entities["kind"] == shown["whole"])).groupBy("digest")
                .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates")))
-    between = F.split(F.col("text"), ANY, -1)
+    # Whole names alone tell which words of a text are names; the first use of a word decides.
+    named = F.col("piece.kind").isin("family", *[f"given_{g}_{script}" for script, g in GIVEN])
+    words = (entities.where("kind = 'name'").select("digest", F.col("value"), "place").join(
+        parts.where("whole = 'name' and not keep").select("value", "at", F.struct("kind", "text").alias("piece")), "value")
+        .where(named & (F.char_length("piece.text") > 1)).select("digest", "place", "at", "piece.*").join(names, ["kind", "text"]))
+    stem = F.regexp_replace("text", _SUFFIX, "")
+    both = words.select("digest", F.explode(F.array(
+        F.struct(F.lit(0).alias("stem"), "place", "at", F.col("text").alias("word"), "surrogate"),
+        F.struct(F.lit(1).alias("stem"), "place", "at", stem.alias("word"), F.regexp_replace("surrogate", _SUFFIX, "").alias("surrogate")))).alias("w"))
+    by_word = both.groupBy("digest", "w.word").agg(F.min(F.struct("w.stem", "w.place", "w.at", "w.surrogate"))["surrogate"].alias("surrogate"))
+    known = by_word.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("word", "surrogate"))).alias("known"))
+    by_text = by_text.join(known, "digest", "left")
+    own = lambda w: F.coalesce(F.element_at("known", w), w)
+    part_by_part = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_PART), F.lit(0)), own), "")
+    belonging = lambda w: F.concat(F.element_at("known", F.regexp_replace(w, _SUFFIX, "")), F.regexp_extract(w, _SUFFIX, 0))
+    alone = lambda w: F.coalesce(F.element_at("known", w), F.when(w.rlike(_JOINED), F.coalesce(belonging(w), part_by_part(w))).otherwise(w))
+    later = lambda t: F.when(F.col("known").isNull(), t).otherwise(
+        F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_RUN), F.lit(0)), alone), ""))
+    between = F.transform(F.split(F.col("text"), ANY, -1), later)
     joined = F.array_join(F.zip_with(between, F.concat("surrogates", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = with_any.join(by_text, "digest").select("row", joined.alias("text"), F.size("surrogates").alias("n_entities"))
     return changed.unionByName(rows.where(~touched).select("row", "text", F.lit(0).alias("n_entities")))

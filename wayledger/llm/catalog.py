@@ -103,7 +103,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_document_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+    return minhash.fingerprints_and_groups(table(spark, sf_dir, "documents"))
 
 
 @query("op7_simhash_near_dedup")

@@ -51,3 +51,26 @@ def test_short_clean_texts_are_decided(spark):
     out = language.classify(short, model, lang=short["lang"]).collect()
     assert sum(r.lang_pred == r.lang for r in out) / len(out) > 0.9
     assert sum(r.accepted for r in out) / len(out) > 0.97
+
+
+def test_long_texts_teach_in_equal_parts(spark):
+    """No text is short, and two fill a dictionary: each of them still takes part, in whole words."""
+    rows = [(k, " ".join(f"{prose(lang, 1, j)}{chr(97 + k)}" for j in range(9_000)), lang, "s") for k in range(5) for lang in WORDS]
+    rows += [(90, "1 " * 30_000 + "только эти слова", "ru", "s")]
+    docs = documents(spark, rows)
+    model = language.learn(docs)
+    assert set(model.dictionaries) == {*WORDS, "ru"}
+    whole = {lang: {w for _, t, x, _ in rows if x == lang for w in language.fold(t).split()} for lang in model.dictionaries}
+    for lang, content in model.dictionaries.items():
+        words = content.decode().split()
+        assert set(words) <= whole[lang] and len(content) <= language.DICTIONARY_BYTES
+        if lang != "ru":
+            ends = [w[-1] for w in words]
+            assert all(ends.count(c) > len(ends) / 10 for c in "abcde") and len(content) > language.DICTIONARY_BYTES * 0.99
+    assert model.dictionaries["ru"].decode() == "только эти слова"
+
+
+def test_filled_shares_the_room():
+    assert language.filled(["aa bb cc", "d", "ee ff gg"], 13) == b"aa bb d ee ff"
+    assert language.filled(["aa bb", "d"], 100) == b"aa bb d" and language.filled([], 100) == b""
+    assert language.filled(["я" * 9], 5).decode() == "яя"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 UNDETERMINED = "und"
-#: Bounds of what is learned from: so many texts a language, none longer than so many characters.
+#: Bounds of what is learned from: so many texts a language, and a passage of at most so many characters of each.
 SAMPLE_TEXTS = 64
 SAMPLE_CHARS = 16_000
 #: Bytes of a dictionary, and of the pieces that a text is compressed in, so that the dictionary stays near.
@@ -50,26 +50,61 @@ class Model:
     dictionaries: dict[str, bytes]
 
 
+def filled(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
+    """The beginnings of the texts, one space apart, in ``size`` bytes: as much of each as fits them all, cut between words."""
+    data = [t.encode("utf-8", "surrogatepass") for t in dict.fromkeys(texts)]
+    room, share = size + 1, 0
+    for k, n in enumerate(sorted(map(len, data))):
+        share = room // (len(data) - k)
+        if n >= share:
+            break
+        room -= n + 1
+    else:
+        share = size + 2
+
+    def cut(t: bytes) -> bytes:
+        if len(t) < share:
+            return t
+        head = t[:share - 1]
+        # A text without spaces is cut between characters.
+        return head if t[len(head):len(head) + 1] == b" " else head.rpartition(b" ")[0] or head.decode("utf-8", "ignore").encode()
+
+    return b" ".join(filter(None, map(cut, data)))[:size]
+
+
 def learn(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Dictionaries from (text, lang): of each language the texts with the smallest digests.
 
-    At most ``sample_texts * sample_chars`` characters a language reach the driver; the texts are
-    chosen before the shuffle. Rows without text, letters or language teach nothing. Languages are
-    those that have a text within the bounds.
+    A longer text than ``sample_chars`` gives a passage of that length, at a place that its digest
+    tells. At most ``sample_texts * sample_chars`` characters a language reach the driver; the texts
+    are chosen before the shuffle. All chosen texts share the dictionary. Rows without text, letters
+    or language teach nothing.
     """
     known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         "lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    first = Window.partitionBy("lang").orderBy("digest", "text")
-    rows = (known.where((F.char_length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
+    first = Window.partitionBy("lang").orderBy("digest", "passage")
+    spare = F.greatest(F.char_length("text") - sample_chars, F.lit(0))
+    start = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % (spare + 1) + 1
+    there = F.substring(F.col("text"), start.cast("int"), F.lit(sample_chars))
+    # A place without letters gives way to the text's first letters.
+    lettered = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{sample_chars - 1}}}", 0)
+    rows = (known.where(F.col("text").rlike(r"\p{L}"))
             .withColumn("digest", F.md5(F.col("text").cast("binary")))
+            .select("lang", "digest", (spare > 0).alias("cut"), ((spare > 0) & (start > 1) & there.rlike(r"\p{L}")).alias("inside"),
+                    F.when(there.rlike(r"\p{L}"), there).otherwise(lettered).alias("passage"))
             .withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample_texts)
-            .select("lang", "place", "text").collect())
+            .select("lang", "place", "passage", "inside", "cut").collect())
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
-        texts.setdefault(r["lang"], []).append(fold(r["text"]))
-    return Model({lang: " ".join(dict.fromkeys(texts[lang])).encode()[:DICTIONARY_BYTES]
-                  for lang in sorted(texts, key=lambda x: (-counts[x], x))})
+        folded = fold(r["passage"])
+        # The first and the last word of a passage from inside a text are parts of words.
+        if r["inside"]:
+            folded = folded.partition(" ")[2] or folded
+        if r["cut"] and len(r["passage"]) == sample_chars:
+            folded = folded.rpartition(" ")[0] or folded
+        texts.setdefault(r["lang"], []).append(folded)
+    return Model({lang: filled(texts[lang]) for lang in sorted(texts, key=lambda x: (-counts[x], x))})
 
 
 def compressors(model: Model) -> list[tuple[str, zstandard.ZstdCompressor]]:

@@ -37,7 +37,7 @@ def test_every_operator_has_one_query():
 
     names = entry.queries()
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def test_stages_against_their_operators(spark):

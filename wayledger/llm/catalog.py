@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pseudonym import PlateHasher
 from ..session import shared_dir
-from . import chat, decontaminate, language, minhash, mixing, pii, simhash, tokens, toxicity, urls
+from . import alignment, chat, codes, decontaminate, language, licenses, minhash, mixing, pii, simhash, tokens, toxicity, urls
 from .common import crc32_rest, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,76 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (placed.repartitionByRange(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1))
             .sortWithinPartitions(F.element_at(F.concat("positions", F.array(F.lit(2.0))), 1), "doc_id")
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+def _values(rows: list[tuple], *names: str) -> str:
+    shown = lambda v: str(v) if isinstance(v, int) else "'" + v + "'" if isinstance(v, str) else "[" + ", ".join(map(shown, v)) + "]"
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") v({', '.join(names)}))"
+
+
+_TEMPLATES_SQL = _values([(k, t.label, t.words) for k, t in enumerate(licenses.TEMPLATES)], "tid", "label", "tw")
+_PHRASES_SQL = _values([(k, place, words) for k, t in enumerate(licenses.TEMPLATES) for place, words in t.phrases], "tid", "place", "pw")
+_BASE_SQL = _values([(phrase.split(), label) for phrase, label in licenses.BASE], "pw", "label")
+
+
+@query("op11_license_scan", sql=f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce({_WORDS5}, []) AS w FROM documents),
+t AS (SELECT * FROM {_TEMPLATES_SQL}),
+tp AS (SELECT tid, unnest(range(0, len(tw))) AS place, unnest(tw) AS word FROM t),
+o AS MATERIALIZED (SELECT row, pos, word FROM (SELECT row, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM d) x WHERE word IN (SELECT word FROM tp)),
+df AS (SELECT word, count(DISTINCT row) AS many FROM o GROUP BY word),
+rare AS (SELECT tid, word FROM (SELECT tid, word, row_number() OVER (PARTITION BY tid ORDER BY coalesce(many, 0), word) AS r
+  FROM (SELECT DISTINCT tid, word FROM tp) x LEFT JOIN df USING (word)) y WHERE r <= {licenses.FILED}),
+filed AS (SELECT tid, word, place, CAST(ceil(count(*) OVER (PARTITION BY tid) * {round(licenses.AGREEING * 100)} / 100.0) AS BIGINT) AS needed FROM tp JOIN rare USING (tid, word)),
+agreed AS (SELECT row, tid, pos - place AS start FROM o JOIN filed USING (word) GROUP BY row, tid, pos - place HAVING count(*) >= max(needed)),
+sure AS (SELECT a.* FROM agreed a JOIN d USING (row) WHERE NOT EXISTS (SELECT 1 FROM {_PHRASES_SQL} p
+  WHERE p.tid = a.tid AND (a.start + p.place < 0 OR w[a.start + p.place + 1:a.start + p.place + len(pw)] <> pw))),
+met AS (SELECT row, label, max(share) AS share FROM (
+  SELECT s.row, s.tid, s.start, count(*) FILTER (o.word = tp.word) * 1.0::DOUBLE / count(*) AS share
+  FROM sure s JOIN tp USING (tid) LEFT JOIN o ON o.row = s.row AND o.pos = s.start + tp.place GROUP BY ALL) x JOIN t USING (tid) GROUP BY row, label),
+b AS (SELECT row, label, i FROM (SELECT row, w, pw, label, unnest(range(0, len(w))) AS i FROM d, {_BASE_SQL} p WHERE list_contains(w, pw[1])) x
+  WHERE w[i + 1:i + len(pw)] = pw),
+bl AS (SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY row),
+al AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (
+  SELECT row, label, {licenses.BASE_SCORE}::DOUBLE AS share FROM b UNION ALL SELECT row, label, share FROM met) x GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(share, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN bl USING (row) LEFT JOIN al USING (row)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, doc_id=F.col("doc_id"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, doc_id=F.col("doc_id"))
+
+
+def _codes_sql() -> str:
+    """Five assignments and four replacements, each a common table of the one before. ``p`` has every part, ``b0`` the first codebooks."""
+    steps = [f"""WITH v AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * {codes.SCALE}) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT row, vec_id, label, unnest(range(0, {codes.PARTS})) AS position, v, len(v) // {codes.PARTS} AS width FROM v),
+p AS MATERIALIZED (SELECT row, vec_id, label, position, x, list_inner_product(x::DOUBLE[], x::DOUBLE[]) AS xx
+  FROM (SELECT *, v[position * width + 1:(position + 1) * width] AS x FROM c) y),
+b0 AS MATERIALIZED (SELECT position, entry, x AS e FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY vec_id) - 1 AS entry FROM p) y WHERE entry < {codes.ENTRIES})"""]
+    for k in range(codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT row, position, arg_min(entry, d * 1024 + entry) AS entry, min(d) AS d FROM (
+  SELECT row, p.position, entry, xx - 2 * list_inner_product(x::DOUBLE[], e) + ee AS d FROM p
+  JOIN (SELECT position, entry, e::DOUBLE[] AS e, list_inner_product(e::DOUBLE[], e::DOUBLE[]) AS ee FROM b{k}) b USING (position)) y GROUP BY row, position)""")
+        if k < codes.ROUNDS:
+            steps.append(f"""m{k} AS (SELECT position, entry, i, CAST(floor(sum(z) / count(*)) AS BIGINT) AS z FROM (
+  SELECT position, entry, unnest(range(0, len(x))) AS i, unnest(x)::DOUBLE AS z FROM a{k} JOIN p USING (row, position)) y GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT position, entry, coalesce(n.e, o.e) AS e FROM b{k} o LEFT JOIN (SELECT position, entry, list(z ORDER BY i) AS e FROM m{k} GROUP BY ALL) n USING (position, entry))""")
+    return ",\n".join(steps) + f""",
+books AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY position, entry)) AS codebooks_sha256 FROM b{codes.ROUNDS}),
+coded AS (SELECT row, string_agg(printf('%02x', CAST(entry AS INT)), '' ORDER BY position) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY row)
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (row), books"""
+
+
+@query("op13_vector_codes", sql=_codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return codes.compress(rows, F.col("embedding"), F.col("vec_id"), F.col("label"))

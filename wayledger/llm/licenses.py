@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.once import once
+from ..session import materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` matches once A-Z are lower-cased, said by what it holds: Java takes a third of the time.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Filed words of a template, and the share of its filed places that must agree.
 FILED, AGREEING = 8, 0.6
@@ -90,17 +92,36 @@ TEMPLATES = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """Words with A-Z lower-cased; none for null."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text.cast("string"), UPPER, LOWER), F.lit(WORD), 0), F.array().cast("array<string>"))
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased, and nothing else."""
+    return F.translate(word, UPPER, LOWER)
 
 
-def document_counts(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
-    """Number of documents that hold each word of the templates, over all documents; one number per word reaches the driver."""
-    vocabulary = sorted({w for t in templates for w in t.words})
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))).alias("word"))
-    counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
-    return {w: counts.get(w, 0) for w in vocabulary}
+def vocabulary(templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE) -> list[str]:
+    return sorted({w for t in templates for w in t.words} | {w for phrase, _ in base for w in phrase.split()})
+
+
+def listed(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE, **keep: Column) -> DataFrame:
+    """(keep, n_words, present, words) for every row of (text), written once: the licence words that a text holds, and
+    all its words, lower-cased, if it holds every word of a base phrase or of all mandatory phrases of a template.
+
+    Texts are cut into words once. Only different words are lower-cased where nothing else is asked of a text.
+    """
+    raw = F.coalesce(F.regexp_extract_all(F.col("__text"), F.lit(WORD), 0), F.array().cast("array<string>"))
+    slim = once(docs.select(F.struct(*[c.alias(k) for k, c in keep.items()]).alias("keep"), F.col("text").cast("string").alias("__text")), __raw=raw)
+    different = F.transform(F.array_distinct("__raw"), lowered)
+    slim = once(slim.select("keep", "__raw"), present=F.array_intersect(different, _strings(vocabulary(templates, base))))
+    wanted = {tuple(sorted(set(phrase.split()))) for phrase, _ in base} | {tuple(sorted({w for p in t.mandatory for w in p.split()})) for t in templates}
+    asked = F.exists(F.array(*[_strings(list(w)) for w in sorted(wanted)]), lambda need: F.forall(need, lambda w: F.array_contains("present", w)))
+    return materialise(slim.select("keep", F.size("__raw").cast("long").alias("n_words"), "present",
+                                   F.when(asked, F.transform("__raw", lowered)).alias("words")))
+
+
+def document_counts(rows: DataFrame, words: list[str]) -> dict[str, int]:
+    """Number of rows of :func:`listed` that hold each of ``words``; one number per word reaches the driver."""
+    held = rows.select(F.explode("present").alias("word")).groupBy("word").count().collect()
+    counts = {r["word"]: r["count"] for r in held}
+    return {w: counts.get(w, 0) for w in words}
 
 
 def index(counts: dict[str, int], templates: tuple[Template, ...] = TEMPLATES, filed: int = FILED) -> list[tuple[Template, list[tuple[str, int]]]]:
@@ -122,17 +143,24 @@ def _strings(words: list[str]) -> Column:
 
 
 def _index_column(filed: list[tuple[Template, list[tuple[str, int]]]]) -> Column:
-    """The index as one constant."""
+    """The index as one constant. ``musts`` are a template's filed words that its mandatory phrases hold."""
     rows = []
     for t, places in filed:
+        rare = sorted({w for w, _ in places})
+        musts = [w for w in rare if any(w in p for _, p in t.phrases)]
         rows.append(F.struct(
-            F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(sorted({w for w, _ in places})).alias("rare"),
+            F.lit(t.label).alias("label"), _strings(t.words).alias("words"), _strings(rare).alias("rare"), _strings(musts).alias("musts"),
             F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("place")) for w, k in places]).alias("postings"),
             F.lit(needed(len(places))).alias("needed"),
             F.array(*[F.struct(F.lit(k).alias("place"), _strings(p).alias("words")) for k, p in t.phrases]).alias("phrases")))
     return F.array(*rows)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: a lambda's variable is, an expression would be at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(words: Column, phrase: list[str]) -> Column:
     """Places of a phrase whose words stand one behind the other."""
     fits = lambda w, i: F.when(
@@ -147,21 +175,35 @@ def _matches(words: Column, found: Column, templates: Column) -> Column:
     its words at their places. ``found`` has the different filed words of the file."""
     n = F.size(words)
 
-    def best(t: Column) -> Column:
-        seen = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(t["rare"], w), F.struct(w.alias("word"), i.alias("at")))))
-        begins = F.sort_array(F.flatten(F.transform(t["postings"], lambda p: F.transform(
-            F.filter(seen, lambda s: s["word"] == p["word"]), lambda s: s["at"] - p["place"]))))
+    def share(t: Column, begin: Column) -> Column:
+        fits = F.transform(t["words"], lambda w, i: F.when(begin + i >= 0, F.get(words, begin + i)) == w)
+        return F.size(F.filter(fits, lambda x: x)) / F.size(t["words"])
+
+    def stands(t: Column, begin: Column) -> Column:
+        return F.forall(t["phrases"], lambda p: (begin + p["place"] >= 0) & (begin + p["place"] < n) & (
+            F.slice(words, F.greatest(begin + p["place"] + 1, F.lit(1)), F.size(p["words"])) == p["words"]))
+
+    def best(t: Column, begins: Column) -> Column:
         # Each filed place gives a beginning once, so equal ones in a row are places that agree.
-        agreed = F.array_distinct(F.array_compact(F.transform(
-            begins, lambda b, i: F.when(F.get(begins, i + t["needed"] - 1) == b, b))))
-        sure = F.filter(agreed, lambda b: F.forall(t["phrases"], lambda p: (b + p["place"] >= 0) & (b + p["place"] < n) & (
-            F.slice(words, F.greatest(b + p["place"] + 1, F.lit(1)), F.size(p["words"])) == p["words"])))
-        shares = F.transform(sure, lambda b: F.size(F.filter(F.transform(
-            t["words"], lambda w, i: F.when(b + i >= 0, F.get(words, b + i)) == w), lambda x: x)) / F.size(t["words"]))
+        agreed = F.array_distinct(F.array_compact(F.transform(begins, lambda b, i: F.when(F.get(begins, i + t["needed"] - 1) == b, b))))
+        shares = F.transform(F.filter(agreed, lambda b: stands(t, b)), lambda b: share(t, b))
         return F.struct(t["label"].alias("label"), F.array_max(shares).alias("share"))
 
-    asked = F.filter(templates, lambda t: F.size(F.array_intersect(found, t["rare"])) * 2 >= F.size(t["rare"]))
-    return F.filter(F.transform(asked, best), lambda m: m["share"].isNotNull())
+    def looked_up(t: Column, seen: Column) -> Column:
+        begins = F.flatten(F.transform(t["postings"], lambda p: F.transform(
+            F.filter(seen, lambda s: s["word"] == p["word"]), lambda s: s["at"] - p["place"])))
+        return _let(F.sort_array(begins), lambda b: best(t, b))
+
+    def whole(asked: Column) -> Column:
+        rare = F.array_distinct(F.flatten(asked["rare"]))
+        seen = _let(rare, lambda r: F.array_compact(F.transform(
+            words, lambda w, i: F.when(F.array_contains(r, w), F.struct(w.alias("word"), i.alias("at"))))))
+        return _let(seen, lambda s: F.filter(F.transform(asked, lambda t: looked_up(t, s)), lambda m: m["share"].isNotNull()))
+
+    # What a passage cannot do without: the filed words of its phrases, and as many filed places as must agree.
+    asked = F.filter(templates, lambda t: F.forall(t["musts"], lambda w: F.array_contains(found, w)) & (
+        F.size(F.filter(t["postings"], lambda p: F.array_contains(found, p["word"]))) >= t["needed"]))
+    return _let(asked, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE, **keep: Column) -> DataFrame:
@@ -172,23 +214,20 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tup
     passages found. ``score`` is the best share of a passage's words, and at least a half with a base place.
     Null texts count as empty: no words, no labels, score 0. Every row of an id that repeats is scanned.
     """
-    filed = index(document_counts(docs, templates), templates)
-    slim = once(docs.select(*[c.alias(k) for k, c in keep.items()], F.col("text").alias("__text")), __words=words_of(F.col("__text")))
-    words = F.col("__words")
-    rare = sorted({w for _, places in filed for w, _ in places})
-    slim = once(slim.select(*keep, "__words"), __found=F.array_intersect(words, _strings(rare)))
+    rows = listed(docs, templates, base, **keep)
+    filed = index(document_counts(rows, vocabulary(templates)), templates)
+    words, rare = F.col("words"), sorted({w for _, places in filed for w, _ in places})
     none = F.array().cast("array<int>")
     found = once(
-        slim,
-        # A phrase's places are only looked for where its last word stands.
-        __base=F.array(*[F.when(F.array_contains(words, phrase.split()[-1]), _starts(words, phrase.split())).otherwise(none) for phrase, _ in base]),
-        __method=F.when(F.size("__found") > 0, _matches(words, F.col("__found"), _index_column(filed))).otherwise(
+        rows.select("keep", "n_words", "words", F.array_intersect("present", _strings(rare)).alias("found")),
+        base=F.array(*[F.when(words.isNotNull(), _starts(words, phrase.split())).otherwise(none) for phrase, _ in base]),
+        method=F.when(words.isNotNull(), _matches(words, F.col("found"), _index_column(filed))).otherwise(
             F.array().cast("array<struct<label:string,share:double>>")))
-    places = F.flatten("__base")
-    own = F.array_compact(F.array(*[F.when(F.size(F.get("__base", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(base)]))
+    places = F.flatten("base")
+    own = F.array_compact(F.array(*[F.when(F.size(F.get("base", F.lit(k))) > 0, F.lit(label)) for k, (_, label) in enumerate(base)]))
     shown = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
-        *keep, F.size(words).cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
+        "keep.*", "n_words", F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-        shown(own).alias("base_labels"), shown(F.concat(own, F.col("__method.label"))).alias("labels"),
-        F.greatest(F.coalesce(F.array_max("__method.share"), F.lit(0.0)), F.when(F.size(places) > 0, BASE_SCORE).otherwise(0.0)).alias("score"))
+        shown(own).alias("base_labels"), shown(F.concat(own, F.col("method.label"))).alias("labels"),
+        F.greatest(F.coalesce(F.array_max("method.share"), F.lit(0.0)), F.when(F.size(places) > 0, BASE_SCORE).otherwise(0.0)).alias("score"))

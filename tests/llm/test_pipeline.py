@@ -8,11 +8,12 @@ import corpus_pipeline
 from check_oracle import connect
 from check_oracle import rows as in_order
 from wayledger.functions.pseudonym import PlateHasher
-from wayledger.llm import decontaminate, language, mixing, pii, simhash
+from wayledger.llm import decontaminate, language, mixing, pii
 from wayledger.llm.catalog import ORACLES, QUERIES, TEST_KEY
 from wayledger.llm.common import table
 
 from .cases import documents
+from .test_minhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -50,14 +51,8 @@ def test_stages_against_their_operators(spark):
             made = language.compressors(model)
             want = {i for i, r in kept.items() if language.decide(r.text, made)[3]}
         elif name == "near_duplicates":
-            marks = {i: simhash.fingerprint(r.text) for i, r in kept.items()}
-            roots = {i: i for i in kept}
-            for i in sorted(kept):
-                for j in sorted(kept):
-                    if j < i and ((marks[i] ^ marks[j]) % (1 << 64)).bit_count() <= 3:
-                        a, b = sorted((roots[i], roots[j]))
-                        roots = {k: a if v == b else v for k, v in roots.items()}
-            want = set(roots.values())
+            group, least = brute_groups([(i, r.text) for i, r in kept.items()])
+            want = {least[group(r.text)] for r in kept.values()}
         elif name == "benchmark_decontamination":
             report = decontaminate.report(docs, table(spark, SF, "benchmark")).collect()
             want = {r.doc_id for r in report if not r.contaminated}

@@ -12,7 +12,7 @@ from ...operators import fusion as U
 from ...operators import zones as Z
 from ...session import shared_dir
 from ...sources.tables import SCHEMAS
-from ...streaming import job, live
+from ...streaming import job, live, sessions
 from .. import adapters as A
 from . import intake, vision
 from .registry import hmac_sql, query, values_sql
@@ -263,3 +263,58 @@ def _(t):
     inbox = _in_slices(t, rows, F.least(F.floor((arrival - low) / width), F.lit(4)).cast("int"), 5)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     return live.run_to_table(live.zone_transitions(Z.memberships(stream, t.zones)), shared_dir(t.spark))
+
+
+def _restarted(t, build, rows, by, n: int, out: str, name: str = "frames"):
+    """Run a stream over ``n`` files of a folder that come in two lots, with a restart in between."""
+    sessions.use_state_store(t.spark)
+    sliced, done = once(rows, slice=by), None
+    for lot in (range(n // 2), range(n // 2, n)):
+        for k in lot:
+            sliced.filter(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+        done = live.run_to_table(build(), f"{out}/of-{name}")
+    return done
+
+
+def _slice_of(rows, arrival, n: int):
+    """Number of the file, of ``n``, that a row arrives in; each spans at least nine seconds."""
+    low, high = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    width = max(((high or 0) - (low or 0)) // n + 1, 9_000_000)
+    return F.greatest(F.least(F.floor((arrival - (low or 0)) / width), F.lit(n - 1)), F.lit(0)).cast("int")
+
+
+@query("zon6_stream_sessions", "track_frames", sql=vision._SESSIONS + f"""
+, mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECONDS AS mark FROM track_frames),
+plated AS (SELECT camera_id, track_id, {A.key("track_id")} AS plate FROM track_frames WHERE track_id % 4 <> 0 GROUP BY ALL)
+SELECT s.camera_id, s.track_id, s.zone_id, s.entry_frame, s.entered_at, s.exit_frame, s.exited_at, s.close_reason,
+ round((epoch_us(exited_at) - epoch_us(entered_at)) / 1000000.0, 3) AS dwell_seconds, plate
+FROM sessions s JOIN mark ON s.exited_at <= mark LEFT JOIN plated p ON s.camera_id = p.camera_id AND s.track_id = p.track_id""")
+def _(t):
+    """Frames come shuffled within 8 seconds, in six files with a restart after three; plates come in behind their tracks."""
+    rows = t.frames.select("camera_id", "track_id", "frame_index", "ts", "box")
+    plates = t.frames.filter("track_id % 4 <> 0").groupBy("camera_id", "track_id").agg(
+        (F.max("ts") + F.expr("INTERVAL 20 MINUTES")).alias("ts")).withColumn("plate", F.expr(A.key("track_id")))
+    out = shared_dir(t.spark)
+    read = lambda df, name: t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/{name}")
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(8_000_000))
+    done = _restarted(t, lambda: sessions.closed_sessions(read(rows, "frames"), t.zones), rows, _slice_of(rows, arrival, 6), 6, out)
+    known = _restarted(t, lambda: read(plates, "plates"), plates, _slice_of(plates, F.unix_micros("ts"), 2), 2, out, "plates")
+    return sessions.plated(done, known)
+
+
+@query("trk3_stream_triggers", "track_frames", sql=vision._PASSAGE.replace("PARTITION BY camera_id, track_id ORDER BY frame_index) > 1, true)",
+    "PARTITION BY camera_id, track_id ORDER BY frame_index) > 1 OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY camera_id, track_id ORDER BY frame_index)) > 21600000000, true)") + """
+, r AS (SELECT *, row_number() OVER k AS seen, sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) OVER (k ROWS UNBOUNDED PRECEDING) AS crops FROM q WINDOW k AS (PARTITION BY camera_id, track_id, passage_start ORDER BY frame_index)),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECONDS AS mark FROM track_frames)
+SELECT camera_id, track_id, passage_start, min(frame_index) AS trigger_frame FROM r, mark WHERE seen >= 8 AND crops >= 3 AND ts <= mark GROUP BY ALL""")
+def _(t):
+    """One row a passage, told while it is open, over six files with a restart after three."""
+    rows = t.frames.select("camera_id", "track_id", "frame_index", "ts", (F.col("value") > 20).alias("has_crop"))
+    out = shared_dir(t.spark)
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("track_id", "frame_index"), F.lit(8_000_000))
+
+    def build():
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/frames")
+        return sessions.provisional_triggers(stream, idle_frames=1, idle_seconds=21_600.0)
+
+    return _restarted(t, build, rows, _slice_of(rows, arrival, 6), 6, out)

@@ -9,6 +9,7 @@ from ...functions import ctc
 from ...functions.once import once
 from ...operators import evaluation as E
 from ...operators import fusion as U
+from ...operators import runs
 from ...operators import zones as Z
 from ...session import shared_dir
 from ...sources.tables import SCHEMAS
@@ -318,3 +319,48 @@ def _(t):
         return sessions.provisional_triggers(stream, idle_frames=1, idle_seconds=21_600.0)
 
     return _restarted(t, build, rows, _slice_of(rows, arrival, 6), 6, out)
+
+
+@query("ing7_stream_gaps", "deliveries", sql="""
+SELECT node_id, arrival, head + 1 AS expected, sequence AS received, sequence - head - 1 AS missing FROM (
+ SELECT *, coalesce(max(sequence) OVER (PARTITION BY node_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS head
+ FROM deliveries) t WHERE sequence > head + 1""")
+def _(t):
+    """Gaps of nodes that deliver in turns, told batch by batch from stored heads, with a restart and with all batches again."""
+    return _run_log(t)[1].select("node_id", "arrival", "expected", "received", "missing")
+
+
+@query("ing8_stream_heads", "deliveries", sql="""
+SELECT node_id, n_events, first_sequence, last_sequence, n_gaps, n_missing FROM (
+ SELECT node_id, count(DISTINCT sequence) AS n_events, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM deliveries GROUP BY node_id) a
+JOIN (SELECT node_id, count(*) FILTER (step > 1) AS n_gaps, cast(coalesce(sum(step - 1) FILTER (step > 1), 0) as bigint) AS n_missing FROM (
+ SELECT node_id, sequence - lag(sequence) OVER (PARTITION BY node_id ORDER BY sequence) AS step FROM (SELECT DISTINCT node_id, sequence FROM deliveries) u) s GROUP BY node_id) b USING (node_id)""")
+def _(t):
+    """What the stored runs and heads say of each node; events that come again, late or in a new run, are in no run twice."""
+    log, _ = _run_log(t)
+    stored, heads = live.known(t.spark, log)
+    gaps = runs.missing(stored).groupBy("node_id").agg(F.count("*").alias("n_gaps"), F.sum(F.col("gap_to") - F.col("gap_from") + 1).alias("n_missing"))
+    held = t.spark.read.parquet(log).groupBy("node_id").agg(F.count("*").alias("n_events"))
+    per = stored.groupBy("node_id").agg(F.min("low").alias("first_sequence")).join(heads, "node_id").join(held, "node_id")
+    return per.join(gaps, "node_id", "left").select("node_id", "n_events", "first_sequence", F.col("chain_sequence").alias("last_sequence"),
+                                                    F.coalesce("n_gaps", F.lit(0)).cast("bigint").alias("n_gaps"), F.coalesce("n_missing", F.lit(0)).cast("bigint").alias("n_missing"))
+
+
+def _run_log(t):
+    """(folder of the log, its gaps): deliveries as envelopes of a node in three files by arrival, streamed with a
+    restart after two and then all again under a new checkpoint."""
+    event = F.struct("arrival", "node_id", F.col("sequence").cast("string").alias("sequence"), "captured_at", "prev_hash", "payload_hash", "signature",
+                     "payload", "signature_ok")
+    rows = t.deliveries
+    last = (rows.agg(F.max("arrival")).first()[0] or 0) + 1
+    # An envelope's arrival is its event's: arrivals inside one would follow on each other.
+    sent = rows.select(F.concat_ws("/", "batch_id", F.col("arrival").cast("string")).alias("batch_id"), "node_id", "received_at", "arrival", F.array(event).alias("events"))
+    out = shared_dir(t.spark)
+    lines = once(sent, slice=F.floor(F.col("arrival") * 3 / last))
+    for name, lots, at_once in (("first", ((0, 1), (2,)), 1), ("second", ((),), 10)):
+        for lot in lots:
+            for k in lot:
+                lines.filter(F.col("slice") == k).select(F.to_json(F.struct("batch_id", "node_id", "received_at", "arrival", "events")).alias("value")).coalesce(
+                    1).write.mode("append").text(f"{out}/inbox")
+            live.start_ingest(t.spark, f"{out}/inbox", f"{out}/events", f"{out}/{name}", files_per_batch=at_once).awaitTermination()
+    return f"{out}/events", t.spark.read.parquet(f"{out}/events/{live.GAPS}")

@@ -1,8 +1,9 @@
 """Ingest as one job: from delivered batches to reads, hits, reviews and unreadable passages, with stored state.
 
 Every micro-batch admits nodes, sets refused events apart, stores new ones, projects them, and screens
-the reads that are new. What depends on the whole history (superseded reads, sessions, node heads,
-gaps) is a view over the stored rows, so it is right however events were spread over batches.
+the reads that are new. Node heads, gaps and the runs of stored sequences are kept as state beside the
+log. Superseded reads and sessions are views over the stored rows, so they are right however events
+were spread over batches.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.pseudonym import PlateHasher
-from ..operators import chain, ingest
+from ..operators import ingest
 from ..operators.screening import screen
 from ..sources import events as ev
 from . import live
@@ -59,8 +60,8 @@ def tables(spark: SparkSession, root: str, hasher: PlateHasher) -> dict[str, Dat
     have = {name: rows.drop(live.BATCH) for name, rows in out.items() if rows is not None}
     if "events" in have:
         have["sessions"] = ingest.zone_sessions(have["events"], hasher)
-        have["heads"] = chain.node_heads(have["events"])
-        have["gaps"] = chain.arrival_gaps(have["events"])
+        have["heads"] = live.known(spark, f"{root}/events")[1]
+        have["gaps"] = spark.read.parquet(f"{root}/events/{live.GAPS}").drop(live.BATCH)
     if "reads" in have:
         have["reads"] = ingest.with_superseded(have["reads"])
     return have

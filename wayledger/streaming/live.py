@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chain, ingest
+from ..operators import runs as R
 from ..operators.screening import screen
 from ..session import file_system
 from ..sources import events as ev
@@ -49,9 +50,9 @@ def apply_batch(
 
     Each batch owns one folder of the log and one of the rejects, under ``batch_key``. Applying it
     again after a failure replaces these folders and touches no others, so nothing is stored twice
-    and nothing is lost. Copies of stored events are found by node and sequence; the log is sorted
-    by both, and only files whose sequences overlap the batch's are read. ``nodes`` admits events of
-    active nodes only.
+    and nothing is lost. Copies of stored events are found by the runs of stored sequences, which are
+    kept beside the log (:func:`known`): no event that is stored already is read. ``nodes`` admits
+    events of active nodes only.
     """
     batch.persist()
     try:
@@ -65,18 +66,65 @@ def apply_batch(
                 F.col("batch_id"), F.col("node_id").alias("batch_node"), F.lit(None).cast("string").alias("sequence"),
                 F.lit("not json").alias("error"))
             own_folder(refused.unionByName(broken), batch_key, rejects_path)
-        stored = stored_events(spark, events_path)
-        if stored is not None:
-            low, high = good.agg(F.min("sequence"), F.max("sequence")).first()
-            stored = stored.filter(F.col("sequence").between(low, high) & (F.col(BATCH) != batch_key))
-        fresh = chain.with_verdict(ingest.new_events(good, stored)).drop("batch_node")
+        stored, heads = known(spark, events_path, but=batch_key)
+        fresh = chain.with_verdict(R.not_held(ingest.new_events(good), stored)).drop("batch_node")
         own_folder(fresh.sortWithinPartitions("node_id", "sequence"), batch_key, events_path)
+        remember(spark, events_path, batch_key, stored, heads)
     finally:
         batch.unpersist()
     if on_new is not None:
         on_new(spark.read.parquet(events_path).filter(F.col(BATCH) == batch_key))
 
 
+#: Folders inside a log that its readers pass over: what is known of it after each batch, and its gaps.
+KNOWN, GAPS = "_known", "_gaps"
+#: States of a log that are kept: a batch that is applied again needs the one before it.
+STATES_KEPT = 3
+HEADS = "node_id string, chain_sequence bigint, chain_head string, last_seen_at timestamp"
+
+
+def _states(spark: SparkSession, events_path: str) -> list[tuple[int, str, bool]]:
+    """(number, batch key, complete) of the stored states, oldest first."""
+    system, folder = file_system(spark, f"{events_path}/{KNOWN}")
+    found = []
+    for status in system.listStatus(folder) if system.exists(folder) else []:
+        number, _, key = status.getPath().getName().partition("-")
+        done = file_system(spark, f"{events_path}/{KNOWN}/{number}-{key}/heads/_SUCCESS")[1]
+        found.append((int(number), key, system.exists(done)))
+    return sorted(found)
+
+
+def known(spark: SparkSession, events_path: str, but: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(runs, heads)`` of a log: the last stored state, for a batch that is applied again the one before it.
+
+    A log without a state, such as one from before states were kept, is read once.
+    """
+    states = [s for s in _states(spark, events_path) if s[2] and s[1] != but]
+    if states:
+        path = f"{events_path}/{KNOWN}/{states[-1][0]}-{states[-1][1]}"
+        return spark.read.schema(R.RUNS).parquet(f"{path}/runs"), spark.read.schema(HEADS).parquet(f"{path}/heads")
+    stored = stored_events(spark, events_path)
+    stored = stored.filter(F.col(BATCH) != but) if stored is not None and but is not None else stored
+    if stored is None:
+        return spark.createDataFrame([], R.RUNS), spark.createDataFrame([], HEADS)
+    return R.merged(R.runs_of(stored)), chain.node_heads(stored)
+
+
+def remember(spark: SparkSession, events_path: str, batch_key: str, runs: DataFrame, heads: DataFrame) -> None:
+    """Store the state of a log after a batch, made of the state before and of the batch's own events, and its gaps."""
+    new = spark.read.parquet(f"{events_path}/{BATCH}={batch_key}")
+    own_folder(chain.arrival_gaps(new, heads, ties=["batch_id"]), batch_key, f"{events_path}/{GAPS}")
+    states = _states(spark, events_path)
+    number = max([s[0] for s in states if s[1] != batch_key], default=0) + 1
+    path = f"{events_path}/{KNOWN}/{number}-{batch_key}"
+    R.merged(runs.unionByName(R.runs_of(new))).write.mode("overwrite").parquet(f"{path}/runs")
+    R.merged_heads(heads.unionByName(chain.node_heads(new))).write.mode("overwrite").parquet(f"{path}/heads")
+    for old, key, _ in states:
+        if old <= number - STATES_KEPT:
+            system, folder = file_system(spark, f"{events_path}/{KNOWN}/{old}-{key}")
+            system.delete(folder, True)
+
+
 def own_folder(rows: DataFrame, batch_key: str, path: str) -> None:
     """Replace the folder of a batch; a batch without rows leaves an empty one."""
     rows.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_key}")

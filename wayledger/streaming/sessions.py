@@ -116,7 +116,7 @@ class _Sessions(_Waiting):
 
         def finish(where: tuple, state: list, frame: int, us: int, reason: str) -> None:
             if state[4] is not None:
-                dwell = round(max(0.0, (us - state[5]) / 1_000_000.0), 3)
+                dwell = (max(0, us - state[5]) + 500) // 1_000 / 1_000.0  # halves go up, as in the batch form
                 out.append((key[0], *where, state[4], _when(state[5]), frame, _when(us), reason, dwell))
                 state[4] = state[5] = None
 

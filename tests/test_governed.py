@@ -173,3 +173,13 @@ def test_other_routes_are_permitted_and_logged(spark, hasher, tmp_path):
     assert sorted(e.action for e in entries) == ["hit.acknowledge", "hit.acknowledge", "node.enrol", "read.image"]
     assert d.compact_log() > 1
     assert sorted(map(str, log(spark, tmp_path))) == sorted(map(str, entries)) and d.compact_log() == 1
+
+
+def test_long_results_come_whole(spark, hasher, tmp_path):
+    sessions = spark.range(1500).select(F.concat(F.lit("Z"), "id").alias("zone_id"), F.lit(None).cast("timestamp").alias("exited_at"))
+    d = Q.Investigator(spark, hasher, {"sessions": sessions}, str(tmp_path / "log"))
+    rows = d.occupancy(gov.Principal("op", "operator"))
+    assert rows.count() == 1500 and rows.distinct().count() == 1500
+    assert [e.n_records for e in log(spark, tmp_path)] == [1500]
+    assert d.compact_log() > 1 and d.compact_log() == 1
+    assert [e.n_records for e in log(spark, tmp_path)] == [1500]

@@ -189,31 +189,51 @@ def zone_sessions(
     The fold does not depend on arrival order. Unverified events are applied too, and
     ``verified`` says whether every event of the session was.
     """
+    return sessions_of(session_parts(events), hasher, policy)
+
+
+#: What is known of a session: its first event, the last that closes it, the last plate of its own and the last filled in.
+SESSION_PARTS = (
+    "session_id string, o struct<sequence: bigint, node_id: string, zone_id: string, camera_id: string, track_id: bigint, entered: timestamp>,"
+    " c struct<sequence: bigint, exited: timestamp, dwell: double, why: string>, own struct<sequence: bigint, plate: string>,"
+    " late struct<sequence: bigint, plate: string>, verified boolean"
+)
+
+
+def session_parts(events: DataFrame) -> DataFrame:
+    """What the events say of each session: one row of ``SESSION_PARTS`` a session, to be merged by :func:`merged_parts`.
+
+    Plates filled in for a session that no event here opens or closes have a row as well.
+    """
     zone = _payload(events, ["zone_entry", "zone_exit"], ZONE_PAYLOAD).filter(
         F.coalesce("p.session_id", F.lit("")) != ""
     )
     p = F.col("p")
+    exited, plate = instant(p["exited_at"]), p["plate"]
+    entered = F.coalesce(instant(p["entered_at"]), instant(F.col("captured_at")))
     rows = zone.select(
-        p["session_id"].alias("session_id"), "node_id", "sequence", "verified",
-        p["zone_id"].alias("zone_id"), F.coalesce(p["camera_id"], "node_id").alias("camera_id"),
-        p["track_id"].alias("track_id"),
-        F.coalesce(instant(p["entered_at"]), instant(F.col("captured_at"))).alias("entered"),
-        instant(p["exited_at"]).alias("exited"),
-        p["dwell_seconds"].alias("dwell"), p["close_reason"].alias("why"),
-        F.when(p["plate"] != "", p["plate"]).alias("plate"),
-    )
-    closing = F.when(F.col("exited").isNotNull(), F.struct("exited", "dwell", "why"))
-    opening = F.struct("node_id", "zone_id", "camera_id", "track_id", "entered")
-    sessions = rows.groupBy("session_id").agg(
-        F.min_by(opening, F.col("sequence")).alias("o"),
-        F.max_by(closing, F.when(closing.isNotNull(), F.col("sequence"))).alias("c"),
-        F.max(F.when(F.col("plate").isNotNull(), F.struct("sequence", "plate"))).alias("own"),
-        F.bool_and("verified").alias("verified"),
+        p["session_id"].alias("session_id"),
+        F.struct("sequence", "node_id", p["zone_id"].alias("zone_id"), F.coalesce(p["camera_id"], "node_id").alias("camera_id"),
+                 p["track_id"].alias("track_id"), entered.alias("entered")).alias("o"),
+        F.when(exited.isNotNull(), F.struct("sequence", exited.alias("exited"), p["dwell_seconds"].alias("dwell"), p["close_reason"].alias("why"))).alias("c"),
+        F.when(F.coalesce(plate, F.lit("")) != "", F.struct("sequence", plate.alias("plate"))).alias("own"), "verified",
     )
-    filled = sessions.join(session_plates(events), "session_id", "left")
+    late = _payload(events, ["session_plate"], SESSION_PLATE_PAYLOAD).filter(F.coalesce("p.plate", F.lit("")) != "")
+    filled = late.select(F.explode("p.sessions").alias("session_id"), F.struct("sequence", F.col("p.plate").alias("plate")).alias("late"))
+    return merged_parts(rows.unionByName(filled, allowMissingColumns=True))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """Parts of sessions as one row a session. Merging again, in any order and cut, gives the same."""
+    return parts.groupBy("session_id").agg(
+        F.min("o").alias("o"), F.max("c").alias("c"), F.max("own").alias("own"), F.max("late").alias("late"), F.bool_and("verified").alias("verified"))
+
+
+def sessions_of(parts: DataFrame, hasher: PlateHasher, policy: RetentionPolicy = RetentionPolicy()) -> DataFrame:
+    """Sessions as they are shown, of merged parts; one that has only a plate filled in is not shown yet."""
     plate = F.greatest("own", "late")["plate"]
     entered = F.col("o.entered")
-    return filled.select(
+    return parts.filter(F.col("o").isNotNull()).select(
         "session_id", F.coalesce("o.zone_id", F.lit("")).alias("zone_id"), F.col("o.camera_id").alias("camera_id"),
         F.col("o.node_id").alias("node_id"), F.col("o.track_id").alias("track_id"), entered.alias("entered_at"),
         F.col("c.exited").alias("exited_at"), F.col("c.dwell").alias("dwell_seconds"),
@@ -222,15 +242,6 @@ def zone_sessions(
     )
 
 
-def session_plates(events: DataFrame) -> DataFrame:
-    """Latest back-filled plate per session: ``(session_id, late struct<sequence, plate>)``."""
-    late = _payload(events, ["session_plate"], SESSION_PLATE_PAYLOAD).filter(F.coalesce("p.plate", F.lit("")) != "")
-    return (
-        late.select("sequence", F.col("p.plate").alias("plate"), F.explode("p.sessions").alias("session_id"))
-        .groupBy("session_id").agg(F.max(F.struct("sequence", "plate")).alias("late"))
-    )
-
-
 def unreadable_passages(events: DataFrame, policy: RetentionPolicy = RetentionPolicy()) -> DataFrame:
     rows = _payload(events, ["unreadable_passage"], UNREADABLE_PAYLOAD)
     captured = instant(F.col("captured_at"))

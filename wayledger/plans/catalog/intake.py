@@ -348,7 +348,7 @@ def _(t):
     return I.review_items(I.project_reads(_verified(t), t.hasher))
 
 
-@query("ing14_15_sessions", "signed_events", sql=_READ_SQL + f""",
+_SESSION_SQL = _READ_SQL + f""",
 z AS (SELECT node_id, sequence, verified, kind, json_extract_string(payload, '$.session_id') AS session_id, json_extract_string(payload, '$.zone_id') AS zone_id,
  cast(json_extract_string(payload, '$.entered_at') as timestamp) AS entered, cast(json_extract_string(payload, '$.exited_at') as timestamp) AS exited,
  cast(json_extract_string(payload, '$.dwell_seconds') as double) AS dwell, json_extract_string(payload, '$.close_reason') AS why FROM p WHERE kind IN ('zone_entry', 'zone_exit')),
@@ -356,7 +356,10 @@ f AS (SELECT session_id, arg_min(node_id, sequence) AS node_id, arg_min(zone_id,
  max(exited) AS exited_at, max(dwell) AS dwell_seconds, max(why) AS close_reason, bool_and(verified) AS verified FROM z GROUP BY session_id),
 late AS (SELECT 'S' || cast(cast(floor(event_id / 10) as bigint) as string) AS session_id, json_extract_string(payload, '$.plate') AS plate FROM p WHERE kind = 'session_plate')
 SELECT f.session_id, zone_id, node_id, entered_at, exited_at, dwell_seconds, close_reason, plate AS plate_canonical, {hmac_sql('plate')} AS plate_hmac,
- entered_at + to_days(365) AS expires_at, verified FROM f LEFT JOIN late USING (session_id)""")
+ entered_at + to_days(365) AS expires_at, verified FROM f LEFT JOIN late USING (session_id)"""
+
+
+@query("ing14_15_sessions", "signed_events", sql=_SESSION_SQL)
 def _(t):
     return I.zone_sessions(_verified(t), t.hasher).drop("camera_id", "track_id")
 

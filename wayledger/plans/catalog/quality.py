@@ -170,6 +170,15 @@ def _(t):
         "provisional", "expires_at", "plate_hmac", "superseded_by", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"))
 
 
+@query("ing14_stream_sessions", "signed_events", sql=intake._SESSION_SQL)
+def _(t):
+    """Sessions kept up over micro-batches that hold exits before entries and plates before both, then all of it again under a new checkpoint."""
+    inbox, root = _delivered(t), shared_dir(t.spark)
+    for begin in ("first", "second"):
+        job.start(t.spark, inbox, root, f"{root}/{begin}", t.hasher, files_per_batch=1).awaitTermination()
+    return job.tables(t.spark, root, t.hasher)["sessions"].drop("camera_id", "track_id")
+
+
 def _in_slices(t, rows, by, n: int) -> str:
     """Rows written as ``n`` files one after the other, so that a stream takes them in this order."""
     path = shared_dir(t.spark) + "/slices"

@@ -17,9 +17,12 @@ from ..functions.plates import with_canonical
 from ..functions.pseudonym import PlateHasher
 from ..operators import governance as gov
 from ..operators.screening import at
+from ..session import materialise
 
 #: Characters that a partial plate must have.
 MIN_FRAGMENT = 3
+#: Bytes below which a file of the access log is merged with others.
+SMALL_FILE = 32 << 20
 
 
 class InvalidSearch(ValueError):
@@ -164,6 +167,30 @@ def hourly_rollup(reads: DataFrame) -> DataFrame:
     )
 
 
+_HOUR_KEY = ["bucket", "camera_id", "site_id", "plate_hmac"]
+
+
+def hourly_keys(reads: DataFrame) -> DataFrame:
+    """Final reads per hour, camera, site and pseudonym, with their ``day``: parts of the roll-up."""
+    return (
+        reads.filter(~F.col("provisional"))
+        .groupBy(F.date_trunc("hour", "captured_at").alias("bucket"), "camera_id", "site_id", "plate_hmac")
+        .agg(F.count("*").alias("n_reads"), F.count_if(F.col("confidence") == "high").alias("n_high"))
+        .withColumn("day", F.to_date("bucket"))
+    )
+
+
+def merged_keys(keys: DataFrame) -> DataFrame:
+    """Keys of several batches as one row a key."""
+    return keys.groupBy("day", *_HOUR_KEY).agg(F.sum("n_reads").alias("n_reads"), F.sum("n_high").alias("n_high"))
+
+
+def rollup_of_keys(keys: DataFrame) -> DataFrame:
+    """The rows of :func:`hourly_rollup` of stored keys, with ``day``; plates that several batches saw count once."""
+    return merged_keys(keys).groupBy("day", *_HOUR_KEY[:3]).agg(
+        F.sum("n_reads").alias("n_reads"), F.sum("n_high").alias("n_high"), F.count("plate_hmac").alias("n_distinct_plates"))
+
+
 def review_queue(reviews: DataFrame, reads: DataFrame, limit: int = 50) -> DataFrame:
     """Oldest unreviewed items with their read; the page is cut before the join."""
     page = reviews.filter("reviewed_at is null").orderBy("queued_at", "read_id").limit(min(limit, R.MAX_LIMIT))
@@ -238,19 +265,24 @@ class Investigator:
         except InvalidSearch as exc:
             self._log(query_id, who, action, target, stated, exc.code, 0)
             raise
-        # Results are pages of at most MAX_LIMIT rows: taken once, for the count and the caller, and left to neither cache.
-        taken = rows.limit(R.MAX_LIMIT).collect()
-        self._log(query_id, who, action, target, stated, "ok", len(taken))
-        return self.spark.createDataFrame(taken, rows.schema)
+        # Written once, for the count and the caller: whole however long, in the order of the plan, and in no cache.
+        taken = materialise(rows)
+        self._log(query_id, who, action, target, stated, "ok", taken.count())
+        return taken
 
     def compact_log(self) -> int:
-        """Merge the log's small files into one; returns how many were merged. Entries written meanwhile stay."""
+        """Merge the log's files below ``SMALL_FILE`` bytes; returns how many were merged.
+
+        Files that have grown to that size stay as they are, so a call does not rewrite the history.
+        Entries written meanwhile stay.
+        """
         from ..sources import rewrite
 
         log = self.spark.read.schema(gov.LOG_SCHEMA).parquet(self.audit_path)
-        small = [r[0] for r in log.select("_metadata.file_path").distinct().collect()]  # file names only
+        found = log.select("_metadata.file_path", "_metadata.file_size").distinct().filter(F.col("file_size") < SMALL_FILE)
+        small = [r[0] for r in found.collect()]  # file names only
         if len(small) > 1:
-            rewrite.replace(self.spark, self.audit_path, small, self.spark.read.schema(gov.LOG_SCHEMA).parquet(*small).coalesce(1))
+            rewrite.replace(self.spark, self.audit_path, small, self.spark.read.schema(gov.LOG_SCHEMA).parquet(*small).hint("rebalance"))
         return len(small)
 
     def _key(self, plate: str) -> str:

@@ -2,8 +2,9 @@
 
 Every micro-batch admits nodes, sets refused events apart, stores new ones, projects them, and screens
 the reads that are new. Node heads, gaps and the runs of stored sequences are kept as state beside the
-log. Superseded reads and sessions are views over the stored rows, so they are right however events
-were spread over batches.
+log, and of each session its first event, its last closing and its latest plate, as parts that each
+batch adds to. Superseded reads are a view over the stored rows. All are right however events were
+spread over batches.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from ..functions.pseudonym import PlateHasher
 from ..operators import ingest
 from ..operators.screening import screen
 from ..sources import events as ev
-from . import live
+from . import live, partials
 
 STORED = ("events", "reads", "hits", "reviews", "unreadable", "rejected")
 
@@ -26,6 +27,19 @@ def read_id() -> Column:
     return F.concat_ws(":", "node_id", F.col("sequence").cast("string"))
 
 
+SESSIONS = "session_parts"
+
+
+def _keep_sessions(spark: SparkSession, root: str, new: DataFrame, key: str) -> None:
+    """Add what a batch's events say of sessions. A root whose events are older than this table is read once."""
+    path = f"{root}/{SESSIONS}"
+    if not partials.folders(spark, path):
+        before = live.stored_events(spark, f"{root}/events").filter(F.col(live.BATCH) != key)
+        partials.add(ingest.session_parts(before), "before", path)
+    partials.fold(spark, path, ingest.merged_parts, but=key)
+    partials.add(ingest.session_parts(new), key, path)
+
+
 def start(
     spark: SparkSession, inbox: str, root: str, checkpoint: str, hasher: PlateHasher,
     nodes: DataFrame | None = None, watchlist: DataFrame | None = None, as_of=None, files_per_batch: int = 1000,
@@ -45,6 +59,7 @@ def start(
         live.own_folder(unknown.unionByName(ingest.reads_without_plate(known)), key, f"{root}/rejected")
         live.own_folder(ingest.project_reads(known, hasher, nodes=nodes).withColumn("id", read_id()), key, f"{root}/reads")
         live.own_folder(ingest.unreadable_passages(known), key, f"{root}/unreadable")
+        _keep_sessions(spark, root, known, key)
         reads = spark.read.parquet(f"{root}/reads/{live.BATCH}={key}")
         live.own_folder(ingest.review_items(reads), key, f"{root}/reviews")
         if watchlist is not None:
@@ -59,7 +74,8 @@ def tables(spark: SparkSession, root: str, hasher: PlateHasher) -> dict[str, Dat
     out = {name: live.stored_events(spark, f"{root}/{name}") for name in STORED}
     have = {name: rows.drop(live.BATCH) for name, rows in out.items() if rows is not None}
     if "events" in have:
-        have["sessions"] = ingest.zone_sessions(have["events"], hasher)
+        parts = spark.read.schema(ingest.SESSION_PARTS).parquet(f"{root}/{SESSIONS}")
+        have["sessions"] = ingest.sessions_of(ingest.merged_parts(parts), hasher)
         have["heads"] = live.known(spark, f"{root}/events")[1]
         have["gaps"] = spark.read.parquet(f"{root}/events/{live.GAPS}").drop(live.BATCH)
     if "reads" in have:

@@ -17,9 +17,8 @@ from ..operators.screening import screen
 from ..session import file_system
 from ..sources import events as ev
 from ..sources import rewrite
-
-
-BATCH = "micro_batch"
+from . import partials
+from .partials import BATCH
 
 
 def stored_events(spark: SparkSession, path: str) -> DataFrame | None:
@@ -162,27 +161,47 @@ def start_ingest(
     )
 
 
+#: Folder inside the stored reads that their readers pass over: keys of each hour, to count plates from.
+KEYS = "_keys"
+
+
+def day_keys(spark: SparkSession, reads_path: str, days: list[str]) -> DataFrame:
+    """Stored parts of some days. Only the folders of these days are listed and read."""
+    path = f"{reads_path}/{KEYS}"
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{BATCH}=*/day={d}" for d in days]).drop(BATCH)
+
+
 def start_rollup(spark: SparkSession, reads: DataFrame, reads_path: str, rollup_path: str, checkpoint: str) -> StreamingQuery:
     """Keep reads and their hourly roll-up: a batch rewrites the days it touches, exactly, however late.
 
-    Every batch is stored in a folder of its own, then the hours of each touched day are computed
-    anew from all its stored reads and replace the day's partition. Distinct plates are exact.
+    Every batch stores its reads in a folder of its own, and beside them how often each plate was read
+    per hour and camera. The hours of the touched days are counted from these keys and replace the day
+    in the roll-up; no read that an earlier batch has stored is read again, and no key of another day.
+    Distinct plates are exact.
     """
-    from ..plans.investigate import hourly_rollup
+    from ..plans import investigate as Q
 
     run = run_of(spark, checkpoint)
 
     def refresh(batch: DataFrame, number: int) -> None:
-        own_folder(batch.withColumn("day", F.to_date("captured_at")).sortWithinPartitions("day"), f"{run}-{number}", reads_path)
-        stored = spark.read.parquet(reads_path)
-        touched = stored.filter(F.col(BATCH) == f"{run}-{number}").select("day").distinct()
-        rows = hourly_rollup(stored.join(touched, "day", "left_semi"))
-        rows.withColumn("day", F.to_date("bucket")).repartition("day").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rollup_path)
+        key, keys = f"{run}-{number}", f"{reads_path}/{KEYS}"
+        own_folder(batch, key, reads_path)
+        partials.fold(spark, keys, Q.merged_keys, ["day"], but=key)
+        partials.add(Q.hourly_keys(spark.read.schema(batch.schema).parquet(f"{reads_path}/{BATCH}={key}")), key, keys, ["day"])
+        touched = [n[len("day="):] for n in _names(spark, f"{keys}/{BATCH}={key}") if n.startswith("day=")]
+        if touched:
+            rows = Q.rollup_of_keys(day_keys(spark, reads_path, touched)).hint("rebalance", "day")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rollup_path)
 
     return reads.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    system, folder = file_system(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(folder)]
+
+
 def final_reads(reads: DataFrame, camera_id: str | None = None) -> DataFrame:
     """Live feed: final reads as they arrive, for an append sink."""
     rows = reads.filter(~F.col("provisional"))

@@ -68,3 +68,22 @@ def test_unlabelled_pages_are_judged_by_mined_rules(spark, labelled):
     marks = spark.createDataFrame([(k, b) for k, _, b in rows] + [(None, True), (5, None)], "page_id long, bad boolean")
     got = {r.page_id: r.verdict for r in urls.judge(data, marks).collect()}
     assert len(got) == 402 and got[1000] == "block" and got[1001] == "allow"
+
+
+def test_one_long_url_many_times_and_support_at_any_size(spark):
+    slug = "-".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    long = [(f"http://host.net/{slug}", True)] * 1000
+    few = [(f"http://bad.net/q{chr(97 + k)}", True) for k in range(20)] + [(f"http://less.net/r{chr(97 + k)}", True) for k in range(19)]
+
+    def verdicts(many):
+        good = [(f"http://good{k % 7}.net/{chr(97 + k % 26)}/{k}", False) for k in range(many)]
+        rows = [(k, u, b) for k, (u, b) in enumerate(long + few + good)]
+        asked = [f"http://host.net/{slug}", "http://else.org/waa", "http://bad.net/new", "http://less.net/new", "http://good3.net/a/5", None]
+        data = spark.createDataFrame([(k, u) for k, u, _ in rows] + [(-1 - k, u) for k, u in enumerate(asked)], "page_id long, url string")
+        marks = spark.createDataFrame([(k, b) for k, _, b in rows], "page_id long, bad boolean")
+        got = {r.page_id: r.verdict for r in urls.judge(data, marks).where("page_id < 0").collect()}
+        return [got[-1 - k] for k in range(len(asked))]
+
+    # Any word of the slug stands for all of it; nineteen urls that agree are too few, twenty are not.
+    want = ["block", "block", "block", "allow", "allow", "allow"]
+    assert verdicts(2_000) == want and verdicts(20_000) == want

@@ -1,20 +1,22 @@
 """URL filtering by association rules.
 
-Every labelled url becomes a set of tokens and its verdict. FP-growth mines combinations that are
-frequent together with a verdict; rules that are not confident enough, or that add nothing to a more
-general rule, are pruned. A rule is filed under its rarest token, so a url meets only rules one of
-whose tokens it has; the other tokens are then tested. Explicit rules come before mined ones.
+Every labelled url becomes a set of tokens and its verdict. Tokens that the same urls have are one
+item, since no rule can tell them apart. FP-growth mines combinations of items that are frequent
+together with a verdict; rules that are not confident enough, or that add nothing to a more general
+rule, are pruned. A rule is filed under its rarest item, so a url meets only rules one of whose tokens
+it has; the other items are then tested. Explicit rules come before mined ones.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_SUPPORT = 0.005
+from ..session import materialise
+
 MIN_CONFIDENCE = 0.6
-#: Labelled urls that must agree before a combination counts, however few there are in all.
+#: Labelled urls that must agree before a combination counts, however few or many there are in all.
 MIN_COUNT = 20
 ALLOW, BLOCK = "verdict=allow", "verdict=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,27 +70,55 @@ def explicit(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, verdict
 
 
-def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-         min_count: int = MIN_COUNT) -> DataFrame:
-    """Rules of labelled urls: (rule_id, verdict, tokens, key, confidence, lift, support).
+def items_of(rows: DataFrame, least: float) -> DataFrame:
+    """(item, tokens, freq): tokens that the same urls of ``rows`` (url, tokens) have, named by the first of them.
+
+    ``freq`` counts rows, repeats included; items in fewer than ``least`` are left out. Two digests and the
+    number of a token's urls stand for the set of them.
+    """
+    by_url = rows.groupBy("url").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
+    by_token = by_url.select("url", "copies", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("freq"), F.bit_xor(F.xxhash64("url")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit("again"), "url")).alias("y")).where(F.col("freq") >= least)
+    # Tokens of one item stand in one url together, so a list is no longer than a url.
+    return by_token.groupBy("n", "freq", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select(
+        F.col("tokens")[0].alias("item"), "tokens", "freq")
+
 
-    ``urls`` has (url, host, path, bad). A rule says a verdict for urls with all its tokens. Pruned
-    are rules with less confidence than asked, rules no better than chance, and rules to which a more
-    general rule of the same verdict has at least the same confidence. ``key`` is the rule's token
-    that the fewest urls have. All labelled rows count; there may be none, then there are no rules.
+def mine(urls: DataFrame, min_support: float = 0.0, min_confidence: float = MIN_CONFIDENCE,
+         min_count: int = MIN_COUNT) -> DataFrame:
+    """Rules of labelled urls: (rule_id, verdict, tokens, key, needs, filed, confidence, lift, support).
+
+    ``urls`` has (url, host, path, bad). A rule says a verdict for urls with one token at least of each
+    list in ``needs``; ``tokens`` names each list by its first. Pruned are rules with less confidence than
+    asked, rules no better than chance, and rules to which a more general rule of the same verdict has at
+    least the same confidence. ``key`` is the item of the rule that the fewest urls have, ``filed`` its
+    tokens. A combination counts from ``min_count`` labelled rows on, at any size of the table;
+    ``min_support`` asks for a share of them besides. All labelled rows count, repeated ones each time;
+    there may be none, then there are no rules.
     """
-    baskets = urls.select(F.concat(tokens_of(F.col("url"), F.col("host"), F.col("path")),
-                                   F.array(F.when(F.col("bad"), BLOCK).otherwise(ALLOW))).alias("items"))
-    support = min(1.0, max(min_support, min_count / max(urls.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = (model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK) & (F.col("lift") > 1))
-             .select(F.col("consequent")[0].alias("verdict"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"))
-    rules = rules.withColumn("rule_id", F.concat_ws(" ", F.concat_ws(" ", "tokens"), "verdict"))
-    rarest = Window.partitionBy("rule_id").orderBy("freq", "token")
-    keyed = (rules.withColumn("token", F.explode("tokens")).join(single, "token")
-             .withColumn("place", F.row_number().over(rarest)).where("place = 1")
-             .select("rule_id", F.col("token").alias("key")))
+    rows = materialise(urls.select("url", "bad", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens")))
+    n = max(rows.count(), 1)
+    least = max(min_count, min_support * n)
+    items = materialise(items_of(rows, least))
+    verdict = F.when(F.col("bad"), BLOCK).otherwise(ALLOW)
+    # The first token of an item stands for it; one url has each once.
+    own = (rows.select("url", F.explode("tokens").alias("item")).distinct().join(items.select("item"), "item")
+           .groupBy("url").agg(F.collect_list("item").alias("items")))
+    baskets = materialise(rows.select("url", verdict.alias("verdict")).join(own, "url").select(F.array_append("items", F.col("verdict")).alias("items")))
+    # Urls without a frequent token bear no rule but count in the shares. Half a url less lets no rounding ask for one more.
+    verdicts = {r["bad"]: r["count"] for r in rows.groupBy("bad").count().collect()}
+    share = F.when(F.col("consequent")[0] == BLOCK, verdicts.get(True, 0) / n).otherwise(verdicts.get(False, 0) / n)
+    held = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / max(held, 1))), minConfidence=min_confidence).fit(baskets)
+    rules = (model.associationRules.where(F.col("consequent")[0].isin(ALLOW, BLOCK)).withColumn("lift", F.col("confidence") / share)
+             .where(F.col("lift") > 1 + 1e-12)
+             .select(F.col("consequent")[0].alias("verdict"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift",
+                     (F.col("support") * held / n).alias("support")))
+    rules = materialise(rules.withColumn("rule_id", F.concat_ws(" ", F.concat_ws(" ", "tokens"), "verdict")))
+    keyed = (rules.select("rule_id", F.explode("tokens").alias("item")).join(items.withColumnRenamed("tokens", "list"), "item")
+             .groupBy("rule_id").agg(F.min(F.struct("freq", "item", "list")).alias("rarest"), F.collect_list("list").alias("needs"))
+             .select("rule_id", F.col("rarest.item").alias("key"), F.col("rarest.list").alias("filed"), "needs"))
     rules = rules.join(keyed, "rule_id")
     general = rules.select(F.col("key").alias("token"), F.col("verdict").alias("g_verdict"), F.col("tokens").alias("g_tokens"),
                            F.col("confidence").alias("g_confidence"))
@@ -104,10 +134,9 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined): for each distinct url that a rule matches, the best by lift, confidence, support and text."""
     distinct = urls.select("url", "host", "path").distinct()
     tokens = distinct.withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
-    filed = rules.select("key", F.struct("lift", "confidence", "support", "rule_id", "verdict").alias("rule"),
-                         F.col("tokens").alias("needs"))
+    filed = rules.select(F.explode("filed").alias("key"), F.struct("lift", "confidence", "support", "rule_id", "verdict").alias("rule"), "needs")
     hits = (tokens.select("url", "tokens", F.explode("tokens").alias("key")).join(filed, "key")
-            .where(F.size(F.array_except("needs", "tokens")) == 0))
+            .where(F.forall("needs", lambda some: F.arrays_overlap(some, F.col("tokens")))))
     return hits.groupBy("url").agg(F.max("rule").alias("mined"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,9 +70,22 @@ def drop_scratch(spark: SparkSession) -> int:
     return dropped
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a written table that survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/table"
+@contextmanager
+def passing_dir(spark: SparkSession) -> Iterator[str]:
+    """A folder of :func:`shared_dir` that is deleted at the end of the block. What the block returns must not read it."""
+    path = shared_dir(spark)
+    try:
+        yield path
+    finally:
+        system, target = file_system(spark, path)
+        system.delete(target, True)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+
+
+def materialise(df: DataFrame, within: str | None = None) -> DataFrame:
+    """Cut lineage through a written table that survives the loss of executors; in a folder of its own, or ``within`` another."""
+    path = f"{within or shared_dir(df.sparkSession)}/table" + (f"-{uuid.uuid4().hex}" if within else "")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from ...operators import runs
 from ...operators import zones as Z
 from ...session import shared_dir
 from ...sources.tables import SCHEMAS
-from ...streaming import job, live, sessions
+from ...streaming import job, live, sessions, verification
 from .. import adapters as A
 from . import intake, vision
 from .registry import hmac_sql, query, values_sql
@@ -355,7 +355,14 @@ def _(t):
                                                     F.coalesce("n_gaps", F.lit(0)).cast("bigint").alias("n_gaps"), F.coalesce("n_missing", F.lit(0)).cast("bigint").alias("n_missing"))
 
 
-def _run_log(t):
+@query("ing4_stream_verdict", "signed_events", sql=intake._breaks("signed_events", f"'{intake.R.GENESIS}'") + intake._VERDICT)
+def _(t):
+    """Chains verified batch by batch from stored segments: late events, a restart, and all batches again."""
+    log, _ = _run_log(t, verification.start)
+    return verification.verdicts(t.spark, log)
+
+
+def _run_log(t, start=live.start_ingest):
     """(folder of the log, its gaps): deliveries as envelopes of a node in three files by arrival, streamed with a
     restart after two and then all again under a new checkpoint."""
     event = F.struct("arrival", "node_id", F.col("sequence").cast("string").alias("sequence"), "captured_at", "prev_hash", "payload_hash", "signature",
@@ -371,5 +378,5 @@ def _run_log(t):
             for k in lot:
                 lines.filter(F.col("slice") == k).select(F.to_json(F.struct("batch_id", "node_id", "received_at", "arrival", "events")).alias("value")).coalesce(
                     1).write.mode("append").text(f"{out}/inbox")
-            live.start_ingest(t.spark, f"{out}/inbox", f"{out}/events", f"{out}/{name}", files_per_batch=at_once).awaitTermination()
+            start(t.spark, f"{out}/inbox", f"{out}/events", f"{out}/{name}", files_per_batch=at_once).awaitTermination()
     return f"{out}/events", t.spark.read.parquet(f"{out}/events/{live.GAPS}")
